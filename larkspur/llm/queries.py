@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 ORACLE_SQL = {
+    "op2_source_mixing": mixing.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
