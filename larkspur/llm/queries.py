@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import bpe, line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE,
