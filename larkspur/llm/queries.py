@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality_rules
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
