@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
