@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, top_k, url_filter
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+    "op7_exact_top_k": top_k.op7_exact_top_k,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
@@ -16,5 +17,6 @@ ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op7_exact_top_k": top_k.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
