@@ -95,7 +95,7 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
         high, low = F.greatest(term, a["sum"]), F.least(term, a["sum"])
         return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
 
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("double").cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
     return F.aggregate(terms, zero, step, lambda a: F.exp(a["sum"]))
 
 
@@ -106,7 +106,8 @@ def safe_cutoffs(counts: DataFrame, labels: DataFrame, max_false_rejection: floa
     risk = max_false_rejection / len(RULES)
     grid = {rule: F.array(*map(F.lit, cutoffs)) for rule, cutoffs in RULES.items()}
     # A value is above the first ``above`` candidates of its rule.
-    above = [F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid[r], lambda c, v=v: c < v)).alias("above")) for r, v in values().items()]
+    passed = lambda cutoffs, value: F.size(F.filter(cutoffs, lambda c: c < value))
+    above = [F.struct(F.lit(r).alias("rule"), passed(grid[r], v).alias("above")) for r, v in values().items()]
     tallies = held.select("stratum", F.inline(F.array(*above))).groupBy("stratum", "rule").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("above") >= i).alias(f"k{i}") for i in range(1, 21)]
     )
