@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, top_k, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secrets, top_k, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
