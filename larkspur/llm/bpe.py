@@ -28,9 +28,9 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import new_path, table
 
-BLOCK_WORDS, CHUNK_WORDS = 4_000_000, 200_000
+BLOCK_WORDS, CHUNK_WORDS = 2_000_000, 100_000
 VOCABULARY = "word_bpe_49k.json"
 LETTERS, NUMBERS, SPACES = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r\x20\x85\xa0"
 #: The pre-tokenizer's expression for texts of U+0000 to U+00FF.
@@ -190,30 +190,47 @@ def _encoded(vocabulary):
     return run
 
 
-def _joined(docs, words):
-    """One block: ids by number, then ids by position."""
+def pieces_of(vocabulary):
+    """The piece of each id, by id."""
     import numpy as np
+
+    tok = _words_of(vocabulary.value).tok
+    return np.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(True))], object)
+
+
+def joined_pieces(bounds, flat, pieces):
+    """The text of each list of ids: an id-to-piece join, then one space between pieces."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not docs.num_rows:
-        return schema.empty_table()
-    codes = [_unpack(x) for x in words.column("codes").to_pylist()]
-    sizes = [_unpack(x) for x in words.column("id_counts").to_pylist()]
-    ids = [_unpack(x) for x in words.column("ids").to_pylist()]
-    code, size, flat = (np.concatenate([np.zeros(0, "u4"), *x]).astype("i8") for x in (codes, sizes, ids))
-    first, count = np.zeros(len(code), "i8"), np.zeros(len(code), "i8")
-    first[code], count[code] = np.cumsum(size) - size, size
-    out = []
-    for own, lens, packed in zip(docs.column("doc_ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("codes").to_pylist(), strict=True):
-        at = _unpack(packed)
-        n = count[at]
-        ends = np.cumsum(n)
-        places = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
-        values = pa.array(flat[places].astype("i4"))
-        out.append(pa.table([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), values)], schema=schema))
-    return pa.concat_tables(out)
+    return pa.array([" ".join(pieces[flat[a:b]].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+
+
+def _joined(vocabulary, decoded: bool):
+    """One block: ids by number, then ids by position, and, if asked for, pieces by id."""
+
+    def run(docs, words):
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *[("decoded", pa.string())] * decoded])
+        if not docs.num_rows:
+            return schema.empty_table()
+        whole = lambda column: np.concatenate([np.zeros(0, "u4"), *map(_unpack, words.column(column).to_pylist())])
+        code, size, flat = whole("codes"), whole("id_counts").astype("i4"), whole("ids").astype("i4")
+        first, count = np.zeros(len(code), "i4"), np.zeros(len(code), "i4")
+        first[code], count[code] = np.cumsum(size) - size, size
+        pieces, out = pieces_of(vocabulary) if decoded else None, []
+        for own, lens, packed in zip(docs.column("doc_ids"), docs.column("sizes"), docs.column("codes"), strict=True):
+            at = _unpack(packed.as_py())
+            n = count[at]
+            ends = np.cumsum(n, dtype="i4")
+            values = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype="i4")]
+            bounds = np.concatenate([np.zeros(1, "i4"), ends])[np.concatenate([[0], np.cumsum(lens.values.to_numpy())])]
+            columns = [own.values, pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))]
+            out.append(pa.table(columns + [joined_pieces(bounds, values, pieces)] * decoded, schema=schema))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def vocabulary_source(path: str | None = None) -> str:
@@ -226,31 +243,36 @@ def vocabulary_source(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, ids) of every row. vocabulary: path of a tokenizers file; parts: into how many the table of distinct words is cut."""
+def encode(
+    docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, parts: int | None = None, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """(doc_id, ids) of every row, and on request the text that the ids decode to.
+
+    vocabulary: path of a tokenizers file; parts: into how many the table of distinct words is cut.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary_source(vocabulary))
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = written(slim.mapInArrow(_blocks(shared, parts, block_words), BLOCKS), "bpe-blocks")
-    words = blocks.where("part >= 0").select("block", "part", "codes", "words").repartition("part")
+    # Written in buckets of blocks: the documents' numbers are not shuffled again.
+    path = new_path(spark, "bpe-blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    slim.mapInArrow(_blocks(shared, parts or 2 * buckets, block_words), BLOCKS).write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    words = spark.read.schema(BLOCKS).parquet(path).where("part >= 0").select("block", "part", "codes", "words").repartition("part")
     ids = words.mapInArrow(_encoded(shared), "block long, codes binary, ids binary, id_counts binary")
-    own = blocks.where("part < 0").select("block", "doc_ids", "sizes", "codes")
-    return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    own = spark.table(name).where("part < 0").select("block", "doc_ids", "sizes", "codes")
+    return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(shared, decoded), "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(vocabulary):
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        tok = _words_of(vocabulary.value).tok
-        pieces = np.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(True))], object)
+        pieces = pieces_of(vocabulary)
         for batch in batches:
             ids = batch.column("ids")
-            bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            texts = [" ".join(pieces[flat[a:b]].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            texts = joined_pieces(ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False), pieces)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return run
 
@@ -266,7 +288,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text). Token counts and digests of ids and decoded texts."""
-    out = decode(encode(docs))
+    out = encode(docs, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
