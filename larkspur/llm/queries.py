@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secrets, top_k, url_filter
+from .common import shipped
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
