@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secrets, top_k, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secrets, top_k, toxicity, url_filter
 from .common import shipped
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_exact_top_k": top_k.op7_exact_top_k,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
