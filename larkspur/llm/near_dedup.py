@@ -217,7 +217,8 @@ def near_duplicates(
     placed = placed.select("node", "version", "root", "own", F.explode(others).alias("other"))
     placed = placed.select(F.col("node").alias("doc"), "version", F.struct("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"))
     texts = written(placed.groupBy("doc", "version").agg(F.collect_list("task").alias("tasks")), "members")
-    sent = slim.join(texts, ["doc", "version"]).select(F.explode("tasks").alias("task"), F.col("doc").alias("node"), "text")
+    # Merged at any size: texts of a small table would be read with the members broadcast, those of a large one shuffled.
+    sent = slim.join(texts.hint("merge"), ["doc", "version"]).select(F.explode("tasks").alias("task"), F.col("doc").alias("node"), "text")
     links = sent.groupBy("task").applyInArrow(_linked(shingle, percent), "a long, b long")
 
     # Texts of one id are linked.
