@@ -227,30 +227,31 @@ class Tagger:
     """Scores texts, batch by batch. What a word adds is worked out once; the store of words is bounded."""
 
     def __init__(self, model: Model, most: int = 400_000):
-        self.model, self.most = model, most
-        self.known: dict[str, int] = {}
-        self.values: list[tuple[float, bool]] = []
-
-    def _codes(self, tokens: list[str]):
         import numpy as np
 
-        for w in set(tokens).difference(self.known):
-            self.known[w] = len(self.values)
-            self.values.append((self.model.emission(normal(w)), w[-1] in ".!?"))
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        self.model, self.most, self.known = model, most, {}
+        self.emissions, self.ends = np.zeros(0), np.zeros(0, bool)
 
     def measure(self, texts: list[str | None]) -> list[tuple[float, float, list]]:
         """(expected toxic tokens, largest marginal, places of tokens of 0.5 or more with their marginals) of each text."""
         import numpy as np
 
-        if len(self.values) > self.most:
+        if len(self.known) > self.most:
             self.known.clear()
-            self.values.clear()
-        codes = [self._codes(_WORDS.findall(t or "")) for t in texts]
+            self.emissions, self.ends = self.emissions[:0], self.ends[:0]
+        known, new, codes = self.known, [], []
+        for text in texts:
+            tokens = _WORDS.findall(text or "")
+            for w in set(tokens).difference(known):
+                known[w] = len(known)
+                new.append(w)
+            codes.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
+        self.emissions = np.concatenate([self.emissions, np.array([self.model.emission(normal(w)) for w in new])])
+        self.ends = np.concatenate([self.ends, np.array([w[-1] in ".!?" for w in new], bool)])
+        emissions, ends = self.emissions, self.ends
         sizes = np.array([len(c) for c in codes], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.concatenate([np.zeros(0, np.int64), *codes])
-        emissions, ends = (np.array(x) for x in zip(*self.values, strict=True)) if self.values else (np.zeros(0), np.zeros(0, bool))
         starts, lengths = chains(np.flatnonzero(ends[flat]), bounds) if len(flat) else (flat, flat)
         p = forward_backward(emissions[flat], starts, lengths, self.model.moves)[0] if len(flat) else np.zeros(0)
         full = np.flatnonzero(sizes)
