@@ -286,12 +286,12 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return rest.mapInArrow(_decoded(shared), T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). Token counts and digests of ids and decoded texts."""
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text). Ids, their number, and digests of ids and decoded texts."""
     out = encode(docs, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, secrets, top_k, toxicity, url_filter
+from . import bpe, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, top_k, toxicity, url_filter
 from .common import shipped
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
