@@ -227,7 +227,9 @@ def _joined(vocabulary, decoded: bool):
             values = flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype="i4")]
             bounds = np.concatenate([np.zeros(1, "i4"), ends])[np.concatenate([[0], np.cumsum(lens.values.to_numpy())])]
             columns = [own.values, pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))]
-            out.append(pa.table(columns + [joined_pieces(bounds, values, pieces)] * decoded, schema=schema))
+            if decoded:
+                columns.append(joined_pieces(bounds, values, pieces))
+            out.append(pa.table(columns, schema=schema))
         return pa.concat_tables(out)
 
     return run
