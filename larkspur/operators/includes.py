@@ -32,6 +32,8 @@ def load(registry: Registry, read: Callable[[Entity], DataFrame], entity: Entity
     """df with one nested column for each navigation in ``wanted``: a struct or null, or a list that may be empty."""
     for name, deeper in wanted.items():
         nav = registry.navigation(entity, name)
+        if name.lower() in (c.lower() for c in df.columns):
+            raise ValueError(f"{entity.table} has a column and a navigation {name}: names differ by more than case")
         target = registry[nav.target]
         rows = load(registry, read, target, read(target), deeper)
         if isinstance(nav, (Reference, SharedKey)):
