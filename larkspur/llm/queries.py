@@ -22,6 +22,7 @@ ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op6_minhash_near_dedup": near_dedup.ORACLE,
     "op7_exact_top_k": top_k.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
