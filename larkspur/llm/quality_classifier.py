@@ -46,8 +46,17 @@ class Profiler:
 
     @staticmethod
     def _about(w: str) -> tuple[int, ...]:
-        word, shape = crc32(w.lower().encode("utf-8", "replace")) % BUCKETS, crc32(b"s" + _shape(w).encode("utf-8", "replace")) % BUCKETS
-        return word, shape, len(w), sum(c in SYMBOLS for c in w), sum(map(str.isupper, w)), w.count("!"), w[-1] in ".!?", sum(map(str.isalpha, w))
+        last = w[-1]
+        core = w[:-1] if last in ".,;:!?" else w
+        # Nearly all words are letters in one of three shapes, with a mark behind them or not.
+        if core.isalpha() and (core.islower() or core.isupper() or core[0].isupper() and core[1:].islower()):
+            shape, upper = ("a", 0) if core.islower() else ("Aa", 1) if core[1:].islower() else ("A", len(core))
+            letters, symbols, marks = len(core), 0, last == "!"
+            shape += last if core is not w else ""
+        else:
+            shape, upper, letters = _shape(w), sum(map(str.isupper, w)), sum(map(str.isalpha, w))
+            symbols, marks = sum(map(w.count, SYMBOLS)), w.count("!")
+        return crc32(w.lower().encode("utf-8", "replace")) % BUCKETS, crc32(b"s" + shape.encode("utf-8", "replace")) % BUCKETS, len(w), symbols, upper, marks, last in ".!?", letters
 
     def __call__(self, texts: list[str | None]) -> list:
         """For each text (word buckets, shape buckets, counts, measures), or None without words."""
