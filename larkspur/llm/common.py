@@ -58,7 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
+    """A new folder among those of this application, which can go when it has ended."""
+    return f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
