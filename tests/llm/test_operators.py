@@ -199,7 +199,7 @@ def test_risk_controlled_cutoffs(spark):
     counts = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, stratum string"))
     labels = spark.createDataFrame([(i, 1) for i in range(4000)], "doc_id long, quality int")
     cuts = {r.stratum: r.cuts for r in quality_rules.safe_cutoffs(counts, labels).collect()}["en"]
-    risk, tests = 0.02 / len(quality_rules.RULES), sum(map(len, quality_rules.RULES.values()))
+    risk, tests = 0.02 / len(quality_rules.RULES), len(quality_rules.RULES)
     tail = lambda k: sum(math.comb(4000, j) * risk**j * (1 - risk) ** (4000 - j) for j in range(k + 1))
     value = [r.n_symbols / r.n_words for r in counts.collect()]
     safe = [c for c in quality_rules.RULES["symbols_per_word"] if tail(sum(v > c for v in value)) <= 0.05 / tests]
