@@ -39,6 +39,21 @@ def normal(token: str) -> str:
     return token.strip(EDGES).lower()
 
 
+class _Normals(dict):
+    """Normal forms by token, each string once."""
+
+    def __missing__(self, token: str) -> str:
+        form = self[token] = self.own(normal(token))
+        return form
+
+    def __init__(self):
+        super().__init__()
+        self._held: dict[str, str] = {}
+
+    def own(self, text: str) -> str:
+        return self._held.setdefault(text, text)
+
+
 def features(word: str) -> list[str]:
     return ["", "w" + word, *(f"{n}{word[:n]}" for n in range(3, 7) if len(word) >= n)]
 
@@ -141,8 +156,10 @@ def fit(texts: list[str | None], toxic: list[bool]) -> Model:
         share = sum(toxic) / max(1, len(toxic))
         return Model(document=(math.log(share / (1 - share)) if 0 < share < 1 else 50.0 if share else -50.0, 0.0, 0.0))
     texts, toxic = _without_copies(texts, toxic)
-    tokens = [_WORDS.findall(t or "") for t in texts]
-    marked = learn_tokens([set(map(normal, set(x))) for x in tokens], toxic)
+    # Every word of the sample is held once.
+    normals = _Normals()
+    tokens = [[normals.own(w) for w in _WORDS.findall(t or "")] for t in texts]
+    marked = learn_tokens([set(map(normals.__getitem__, set(x))) for x in tokens], toxic)
 
     # Sentences with a toxic token, and as many others as the bound leaves, from all documents alike.
     sentences, labels = [], []
@@ -151,7 +168,7 @@ def fit(texts: list[str | None], toxic: list[bool]) -> Model:
         at = 0
         for i, w in enumerate(words):
             if w[-1] in ".!?" or i == len(words) - 1 or i - at >= CHAIN - 1:
-                own = list(map(normal, words[at : i + 1]))
+                own = list(map(normals.__getitem__, words[at : i + 1]))
                 at = i + 1
                 y = [bool(label) and any(f in marked for f in features(x)[1:]) for x in own]
                 (sentences if any(y) else rest_s).append(own)
