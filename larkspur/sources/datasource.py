@@ -69,6 +69,7 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.schema_ = options, schema
         self.ids: set[int] | None = None
+        self.equal: dict[str, set] = {}
 
     def _open(self) -> tuple[TableSchema, TableFile]:
         schema, data = open_table(self.options)
@@ -80,15 +81,23 @@ class Reader(DataSourceReader):
         return schema, file
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality with ids is evaluated here, exactly; everything else stays with Spark."""
-        key = open_table(self.options)[0].key
+        """Equality with whole numbers and strings is evaluated here, exactly, and with ids before anything is decoded; all else stays with Spark."""
+        table, _ = open_table(self.options)
         for f in filters:
             path = getattr(f, "attribute", ())
-            if key is not None and key.is_id and len(path) == 1 and path[0].lower() == key.name.lower() and isinstance(f, (EqualTo, In)):
-                found = {int(v) for v in (f.value if isinstance(f, In) else [f.value]) if v is not None}
+            field = next((x for x in table.fields if len(path) == 1 and x.name.lower() == path[0].lower()), None)
+            values = (f.value if isinstance(f, In) else [f.value]) if isinstance(f, (EqualTo, In)) else None
+            if field is None or values is None or field.count > 1:
+                yield f
+                continue
+            kind = str if field.kind == "string" else int
+            found = {v for v in values if v is not None}
+            if field.kind == "float" or field.kind == "uint" and field.bits == 64 or any(type(v) is not kind for v in found):
+                yield f
+            elif field.is_id:
                 self.ids = found if self.ids is None else self.ids & found
             else:
-                yield f
+                self.equal[field.name] = self.equal[field.name] & found if field.name in self.equal else found
 
     def partitions(self) -> list[InputPartition]:
         _, file = self._open()
@@ -102,6 +111,9 @@ class Reader(DataSourceReader):
         s = file.sections[partition.section]
         ids = file.ids(s)
         own = np.arange(partition.first, partition.last)
+        for name, values in self.equal.items():
+            column = file.column(s, schema.field(name), ids)
+            own = own[np.isin(column[own], list(values))] if isinstance(column, np.ndarray) else np.array([i for i in own.tolist() if column[i] in values], np.int64)
         shown = ids[own]
         if self.ids is not None:
             wanted = own[np.isin(shown, list(self.ids))]

@@ -52,6 +52,17 @@ def test_id_filters_reach_the_reader(spark, folder):
     assert sorted(r.ID for r in df.where("Value = 20").collect()) == [101, 103]
 
 
+def test_equality_of_other_columns_is_exact(spark, folder):
+    df = load(spark, folder, resolve_copies="true")
+    plan = lambda where: df.where(where)._jdf.queryExecution().executedPlan().toString()
+    assert " Filter (" not in plan("Value = 20 AND Name = 'a'") and "Filter (" in plan("Value > 20")
+    assert [r.ID for r in df.where("Value = 20 AND Name = 'a'").collect()] == [101]
+    assert sorted(r.ID for r in df.where(F.col("Name").isin("a", "", "q")).collect()) == [101, 103]
+    assert sorted(r.ID for r in df.where("Value IN (20, -1) AND Value = 20").collect()) == [101, 103]
+    assert [r.ID for r in df.where("ID = 200 AND Value = 30").collect()] == [200] and df.where("ID = 200 AND Value = 31").count() == 0
+    assert [r.ID for r in df.where("Wide = 5").collect()] == [7] and df.where("Value > 25").count() == 1
+
+
 def test_columns_and_partitions(spark, folder):
     df = load(spark, folder, columns="value,ID", rows_per_partition="2")
     assert df.columns == ["Value", "ID"] and df.count() == 4 and df.rdd.getNumPartitions() == 3
