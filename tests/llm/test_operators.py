@@ -207,6 +207,16 @@ def test_risk_controlled_cutoffs(spark):
     assert not quality_rules.safe_cutoffs(counts, labels.limit(5)).collect()  # too few to be sure
 
 
+def test_repeated_windows_are_judged_per_stratum(spark):
+    fresh = lambda i, n: " ".join(f"w{i}.{k}" for k in range(n))
+    rows = [(i, fresh(i, 12), "en") for i in range(2000)] + [(2000, f"{fresh('a', 5)} {fresh('b', 90)} {fresh('a', 5)}", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stratum string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    assert out[2000].n_repeat_words == 10 and not out[2000].base_failed  # 10 %, under the base rule
+    assert out[2000].failed_rules == ["repeats_per_word"] and not out[2000].kept and all(out[i].kept for i in range(2000))
+
+
 # ---- 5
 def test_url_query(spark, nasty):
     got = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in queries.QUERIES["op5_url_filter"](spark, nasty).collect()}
