@@ -3,7 +3,8 @@
 1. Each text becomes its set of distinct word shingles, as 64-bit hashes. Every permutation gives its minimum and its
    maximum over the set, so ``PERMUTATIONS`` hash evaluations a shingle give twice as many signature values. ``BANDS`` bands
    of ``ROWS`` values each make the bucket keys. Two sets of similarity 0.8 miss each other in all bands once in 150,000.
-2. Documents of equal sets are one class (128-bit hash of the set), whose least id stands for it. Copies go no further.
+2. Documents of equal sets are one class (128-bit hash of the set), which gets a number of its own: the node of all graphs
+   here. Its least id stands for it. Copies go no further.
 3. Classes that share a bucket are strung to the bucket's least class, and connected components of these strings are
    clusters: all candidate pairs lie within clusters, and no pairs are listed.
 4. Each class's text is sent to its cluster once. A task finds the true links by comparing full sets, breadth first: a
@@ -11,9 +12,10 @@
    task's bound are cut into blocks, and each two blocks meet in a task of their own, so that no link is lost.
 5. Components of the true links give each document the least id that it reaches.
 
-Defined results: a null or empty text has an empty set and is linked with nothing. A null id counts as the least. Rows that
-repeat an id are one document: their texts are linked. A table without rows gives no rows. Columns other than the id and
-the text are not looked at.
+Defined results: a null or empty text has an empty set and is linked with nothing. Each row without an id is a document of
+its own, after all that have one: it goes where a near copy has an id, and of a group of such rows alone one stays (that of
+the least class), with a null component_id. Rows that repeat an id are one document: their texts are linked. A table without
+rows gives no rows. Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, table, written
@@ -105,7 +107,7 @@ class MinMax:
         return _mix(_mix(values).sum(axis=1, dtype=np.uint64) + self.band).view(np.int64)
 
 
-SIGNED = "doc long, version long, n long, h1 long, h2 long, bands array<long>"
+SIGNED = "doc long, version long, row long, n long, h1 long, h2 long, bands array<long>"
 
 
 def _signed(shingle: int, permutations: int, bands: int, rows: int):
@@ -126,8 +128,8 @@ def _signed(shingle: int, permutations: int, bands: int, rows: int):
                 keys.append(minmax.keys(hashes) if len(hashes) else np.zeros(0, np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("i4")
             listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            columns = [batch.column("doc"), batch.column("version"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), listed]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "n", "h1", "h2", "bands"])
+            columns = [batch.column("doc"), batch.column("version"), batch.column("row"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "row", "n", "h1", "h2", "bands"])
 
     return run
 
@@ -193,14 +195,25 @@ def near_duplicates(
     permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc")
-    text = F.col(f"`{text_col}`")
-    slim = docs.select(doc, F.xxhash64(text).alias("version"), text.alias("text"))
-    signed = written(slim.mapInArrow(_signed(shingle, permutations, bands, rows), SIGNED), "signatures")
+    found = _judged(docs, id_col, text_col, shingle, percent, permutations, bands, rows, block_docs, block_shingles)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _judged(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
+    permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """One row per row of docs: doc, version (a hash of the text), n, component, kept."""
+    doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    slim = docs.select(doc.alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    # A row without an id is told from others by its number.
+    numbered = slim.select("doc", "version", F.when(F.col("doc").isNull(), F.monotonically_increasing_id()).alias("row"), "text")
+    signed = written(numbered.mapInArrow(_signed(shingle, permutations, bands, rows), SIGNED), "signatures")
     some = signed.where("n > 0")
     # Copies meet here as one row per task and class.
-    first = F.min(F.struct("doc", "version", "n")).alias("first")
-    classes = written(some.groupBy("h1", "h2").agg(first, F.any_value("bands").alias("bands")).select("h1", "h2", F.col("first.doc").alias("node"), "first.version", "first.n", "bands"), "classes")
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "version", "row", "n")).alias("first")
+    classes = some.groupBy("h1", "h2").agg(first, F.any_value("bands").alias("bands"))
+    classes = written(classes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "first.doc", "first.version", "first.row", "first.n", "bands"), "classes")
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
@@ -208,37 +221,57 @@ def near_duplicates(
     clusters = components(strung)
     # Roots are members, too.
     members = clusters.unionByName(clusters.select("root").distinct().select(F.col("root").alias("node"), "root"))
-    members = members.join(classes.select("node", "version", "n"), "node")
+    members = members.join(classes.select("node", _known("doc"), "version", "n"), "node")
     weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     cuts = F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)).cast("int")
     placed = members.join(weights.select("root", cuts.alias("cuts")), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     # Two blocks meet once; a block alone meets itself.
     others = F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: (F.col("cuts") == 1) | (o != F.col("own")))
-    placed = placed.select("node", "version", "root", "own", F.explode(others).alias("other"))
-    placed = placed.select(F.col("node").alias("doc"), "version", F.struct("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"))
-    texts = written(placed.groupBy("doc", "version").agg(F.collect_list("task").alias("tasks")), "members")
+    placed = placed.select("node", "doc", "version", "root", "own", F.explode(others).alias("other"))
+    task = F.struct("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task")
+    texts = written(placed.groupBy("doc", "version", "node").agg(F.collect_list(task).alias("tasks")), "members")
     # Merged at any size: texts of a small table would be read with the members broadcast, those of a large one shuffled.
-    sent = slim.join(texts.hint("merge"), ["doc", "version"]).select(F.explode("tasks").alias("task"), F.col("doc").alias("node"), "text")
+    sent = slim.select(_known("doc"), "version", "text").join(texts.hint("merge"), ["doc", "version"]).select(F.explode("tasks").alias("task"), "node", "text")
     links = sent.groupBy("task").applyInArrow(_linked(shingle, percent), "a long, b long")
 
     # Texts of one id are linked.
-    vertices = some.select("doc", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
+    vertices = some.where("doc IS NOT NULL").select("doc", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
     vertices = written(vertices, "vertices")
     same = vertices.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("doc", "b")
     same = vertices.join(same, "doc").select(F.col("node").alias("a"), "b")
     roots = components(links.unionByName(same))
-    named = classes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    roots = roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    # A component is named by its least id; where it has none, one row stays for it.
+    own = classes.select("h1", "h2", "node", "doc", "row")
+    alone = F.min(F.when(F.col("doc").isNull(), F.struct("h1", "h2", "row")))["row"]
+    heads = roots.join(own, "node").groupBy("root").agg(F.min("doc").alias("least"), alone.alias("alone"))
+    linked = roots.join(heads, "root").select("node", F.lit(True).alias("linked"), "least", "alone")
+    of_head = lambda c, head: F.when(F.col("linked"), F.col(head)).otherwise(F.col(c)).alias(head)
+    named = own.join(linked, "node", "left").select("h1", "h2", of_head("doc", "least"), of_head("row", "alone"))
     out = signed.join(named, ["h1", "h2"], "left")
-    root = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc"))
-    null_again = lambda c: F.when(c != NO_ID, c)
-    return out.select(null_again(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null_again(root).alias("component_id"), (F.col("doc") == root).alias("kept"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
+    stays = (F.col("n") == 0) | F.col("least").isNull() & (F.col("row") == F.col("alone"))
+    kept = F.when(F.col("doc").isNull(), stays).otherwise(F.col("doc") == component)
+    return out.select("doc", "version", "n", component.alias("component"), kept.alias("kept"))
+
+
+def _known(doc: str) -> Column:
+    """An id to join by; rows without one are told apart by their texts."""
+    return F.coalesce(doc, F.lit(NO_ID)).alias(doc)
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, text and more) whose document stays for its group, one row for each."""
-    kept = near_duplicates(docs.select("doc_id", "text"), **options).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
-    joined = docs.withColumn("_kept", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(kept, "_kept")
-    return joined.dropDuplicates(["_kept"]).select(*docs.columns)
+    none = lambda doc: doc.isNull().alias("_none")
+    # Rows without an id are found by their text.
+    key = lambda doc, version: F.when(doc.isNull(), version).otherwise(doc).alias("_key")
+    found = _judged(docs.select("doc_id", "text"), **options).where("kept AND (doc IS NOT NULL OR n > 0)")
+    kept = found.select(none(F.col("doc")), key(F.col("doc"), F.col("version"))).distinct()
+    doc = F.col("doc_id").cast("long")
+    joined = docs.select("*", none(doc), key(doc, F.xxhash64("text"))).join(kept, ["_none", "_key"])
+    # Without an id and without a word: each stays.
+    empty = docs.where(doc.isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
+    return joined.dropDuplicates(["_none", "_key"]).select(*docs.columns).unionByName(empty)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

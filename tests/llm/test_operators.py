@@ -288,6 +288,20 @@ def test_keep_one_of_each(spark, nasty):
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(i for i, root in want.items() if i == root)
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    text = lambda name, *more: " ".join([f"{name}{i}" for i in range(60)] + list(more))
+    rows = [(None, text("x")), (7, text("x", "seven")), (None, text("y")), (9, text("y", "nine")), (None, text("z")), (None, text("z")), (None, text("z", "more")), (None, text("u")), (None, ""), (None, None)]
+    rows += [(3, text("p")), (3, text("q")), (5, text("p", "five")), (6, text("q", "six"))]  # a repeated id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == Counter([(7, 7, True), (9, 9, True), (3, 3, True), (3, 3, True), (5, 3, False), (6, 3, False)])
+    assert Counter((r.component_id, r.kept) for r in got if r.doc_id is None) == {(7, False): 1, (9, False): 1, (None, False): 2, (None, True): 4}
+    for size in (5, 4):
+        left = Counter((r.doc_id, (r.text or "")[:1]) for r in near_dedup.keep_one_of_each(docs, shingle=size).collect())
+        assert {k: n for k, n in left.items() if k[0] != 3} == {(7, "x"): 1, (9, "y"): 1, (None, "z"): 1, (None, "u"): 1, (None, ""): 2}
+        assert sum(n for k, n in left.items() if k[0] == 3) == 1
+
+
 # ---- 7
 def test_top_k(spark, nasty):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in queries.QUERIES["op7_exact_top_k"](spark, nasty).orderBy("query_id", "rank").collect()]
