@@ -6,9 +6,9 @@ nothing new appears; a layer whose text was seen before at the same place is not
 character of a layer knows which characters of the whole text it came from, so that what is found is reported as a span of
 the document.
 
-Escapes are unwrapped line by line, as no secret spans lines; base64 token by token. Compressed data are unwrapped in
-windows of ``WINDOW`` characters that overlap by ``OVERLAP``, so that memory stays bounded without leaving anything out but
-single secrets longer than the overlap. All of it maps to the span of its token.
+Escapes are unwrapped line by line, as no secret spans lines; base64 token by token, a line's by itself and lines of one
+length with a shorter last one together. Compressed data are unwrapped in windows of ``WINDOW`` characters that overlap by ``OVERLAP``.
+All of it maps to the span of its token.
 
 Base spans (layer 0) are leftmost and do not overlap within a kind. Defined results: a null or empty text has no spans. The
 same span found in several layers counts once, for the outermost. Repeated rows and null ids are scanned each. A table
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import html
 import lzma
 import re
@@ -47,8 +48,15 @@ ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|(&[^;]+;)")
 #: Wide forms of ASCII, and characters without width.
 WIDE = re.compile("[\uff01-\uff5e\u200b-\u200d\u2060\ufeff\u00ad]")
-BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n){1,}[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+/_-]{12,}={0,2}")
-MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bz2"), (b"\xfd7zXZ", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Lines that may be a wrapped block; those of one length, and a shorter last one, are taken together.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}+\r?\n)++(?:[A-Za-z0-9+/_-]++={0,2})?")
+ONE_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+STANDARD = str.maketrans("-_", "+/")
+#: Where compressed data begin in base64, at any place of a token: the first bytes fill these characters.
+PACKED = re.compile(r"(?=(H4sI)|(Qlpo)|(/Td6WF)|(KLUv/[Q-Za-f])|(eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]))")
+NULS, LONE = re.compile("\\0+"), re.compile("[\\udc80-\\udcff]")
+PACKERS = ("gzip", "bz2", "xz", "zstd", "zlib")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -63,10 +71,10 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A text whose i-th character came from the characters starts[i] to ends[i] of the document."""
 
-    __slots__ = ("ends", "starts", "text")
+    __slots__ = ("at", "before", "ends", "more", "starts", "stream", "text")
 
     def __init__(self, text: str, starts, ends):
-        self.text, self.starts, self.ends = text, starts, ends
+        self.text, self.starts, self.ends, self.stream = text, starts, ends, None
 
 
 def _replaced(text: str, starts, ends, pattern: re.Pattern, unwrap) -> Layer | None:
@@ -87,7 +95,7 @@ def _replaced(text: str, starts, ends, pattern: re.Pattern, unwrap) -> Layer | N
     if not out:
         return None
     out.append(text[last:])
-    return Layer("".join(out), s + starts[last:], e + ends[last:])
+    return Layer("".join(out), s + starts[last : len(text)], e + ends[last : len(text)])
 
 
 def _percent(m: re.Match):
@@ -126,75 +134,159 @@ def _wide(m: re.Match):
     return [(chars, 0, 1)]
 
 
-def inflated(data: bytes) -> Iterator[bytes] | None:
-    """The contents of compressed data, piece by piece; None if they aren't compressed."""
-    kind = next((k for magic, k in MAGIC if data.startswith(magic)), None)
-    if not kind:
-        return None
+def _decompressor(kind: str):
+    if kind == "zstd":
+        import zstandard
 
-    def pieces() -> Iterator[bytes]:
-        try:
-            if kind == "zstd":
-                import io
+        return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+    if kind in ("gzip", "zlib"):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor(memlimit=1 << 27)
 
-                import zstandard
 
-                with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(data)) as r:
-                    while piece := r.read(WINDOW):
+def inflated(chunks: Iterator[bytes], kind: str) -> Iterator[bytes]:
+    """The contents of compressed data, piece by piece, of all members that follow each other."""
+    try:
+        d = _decompressor(kind)
+        for chunk in chunks:
+            # zstd gives all that its input holds: 256 bytes are at most 8 MiB.
+            for rest in (chunk[i : i + 256] for i in range(0, len(chunk), 256)) if kind == "zstd" else (chunk,):
+                while True:
+                    if d.eof:
+                        return
+                    piece = d.decompress(rest) if kind == "zstd" else d.decompress(rest, WINDOW)
+                    if piece:
                         yield piece
-                return
-            if kind in ("gzip", "zlib"):
-                d = zlib.decompressobj(47)
-                rest = data
-                while rest and not d.eof:
-                    yield d.decompress(rest, WINDOW)
-                    rest = d.unconsumed_tail
-                return
-            d = bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor(memlimit=1 << 27)
-            rest = data
-            while not d.eof:
-                piece = d.decompress(rest, WINDOW)
-                yield piece
-                rest = b""
-                if not piece and d.needs_input:
+                    rest = d.unused_data if d.eof else d.unconsumed_tail if kind in ("gzip", "zlib") else b""
+                    if not rest and (d.eof or kind == "zstd" or len(piece) < WINDOW):
+                        break
+    except Exception as broken:  # noqa: BLE001  data that break off give what came before
+        if not isinstance(broken, (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)) and type(broken).__name__ != "ZstdError":
+            raise
+
+
+def _bytes_of(clean: str) -> bytes:
+    """Base64 without padding; a last character that makes no byte is left out."""
+    clean = clean[: len(clean) - (len(clean) % 4 == 1)]
+    return base64.b64decode(clean + "=" * (-len(clean) % 4))
+
+
+def _chunks(texts: Iterator[str]) -> Iterator[bytes]:
+    """The bytes of base64 that comes in parts."""
+    held = ""
+    for text in texts:
+        held += text
+        n = len(held) // 4 * 4
+        for i in range(0, n, 1 << 16):
+            yield base64.b64decode(held[i : min(n, i + (1 << 16))])
+        held = held[n:]
+    if len(held) > 1:
+        yield _bytes_of(held)
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    for chunk in chunks:
+        if text := decode(chunk):
+            yield text
+    if text := decode(b"", True):
+        yield text
+
+
+class Stream:
+    """A text that can be read again from its beginning, in windows; ``parts`` gives an iterator over its parts."""
+
+    def __init__(self, parts, start: int, end: int):
+        self.parts, self.start, self.end = parts, start, end
+
+    def layers(self) -> Iterator[Layer]:
+        held, at, before = "", 0, ""
+        for part in self.parts():
+            held += part
+            while len(held) > WINDOW + OVERLAP:
+                yield self._layer(held[: WINDOW + OVERLAP], at, before, True)
+                held, at, before = held[WINDOW:], at + WINDOW, held[WINDOW - 1]
+        if held:
+            yield self._layer(held, at, before, False)
+
+    def _layer(self, text: str, at: int, before: str, more: bool) -> Layer:
+        layer = Layer(text, _Same(self.start), _Same(self.end))
+        layer.stream, layer.at, layer.before, layer.more = self, at, before, more
+        return layer
+
+    def token(self, at: int) -> Iterator[str]:
+        """The characters of the base64 token that begins at a place."""
+        place = 0
+        for part in self.parts():
+            if place + len(part) > at:
+                own = part[max(0, at - place) :]
+                run = TOKEN_PART.match(own)[0]
+                yield run.translate(STANDARD)
+                if len(run) < len(own):
                     return
-        except Exception as broken:  # noqa: BLE001  data that break off give what came before
-            if not isinstance(broken, (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)) and type(broken).__name__ != "ZstdError":
-                raise
+            place += len(part)
 
-    return pieces()
 
-
-def _as_text(data: bytes) -> str | None:
-    """Data that read as text: UTF-8, nearly all of it printable."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if not (c.isprintable() or c in "\t\n\r"))
-    return text if text and odd * 20 <= len(text) else None
+TOKEN_PART = re.compile(r"[A-Za-z0-9+/_-]*")
 
 
-def _from_base64(token: str):
-    """(decoded bytes, groups start at) of a token; both alphabets."""
-    clean = token.rstrip("=").replace("\r", "").replace("\n", "").replace("-", "+").replace("_", "/")
-    if len(clean) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(clean + "=" * (-len(clean) % 4))
-    except (binascii.Error, ValueError):
-        return None
+def _cut(texts: Iterator[str], n: int) -> Iterator[str]:
+    for text in texts:
+        yield text[n:]
+        n = max(0, n - len(text))
 
 
-def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
-    held = b""
-    for piece in pieces:
-        held += piece
-        while len(held) >= WINDOW + OVERLAP:
-            yield held[: WINDOW + OVERLAP].decode("utf-8", "replace")
-            held = held[WINDOW:]
-    if held:
-        yield held.decode("utf-8", "replace")
+def _packed(clean: str) -> Iterator[tuple[int, str]]:
+    """(place, kind) of what may be compressed data in base64."""
+    for x in PACKED.finditer(clean):
+        kind = PACKERS[x.lastindex - 1]
+        if kind == "zlib":  # three characters that come by chance, too
+            try:
+                zlib.decompressobj().decompress(_bytes_of(clean[x.start() : x.start() + 256]), 1 << 12)
+            except zlib.error:
+                continue
+        yield x.start(), kind
+
+
+def _open_token(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """What is in a token that goes on behind its window: it's read as a stream, from each place where data may begin."""
+    stream, at = layer.stream, layer.at + m.start()
+    again = lambda n, kind: lambda: _texts(inflated(_chunks(_cut(stream.token(at), n)), kind) if kind else _chunks(_cut(stream.token(at), n)))
+    for n in range(4):
+        yield from Stream(again(n, None), stream.start, stream.end).layers()
+    held, place = "", 0
+    for text in stream.token(at):
+        held += text
+        for n, kind in _packed(held):
+            if n + 8 <= len(held):
+                yield from Stream(again(place + n, kind), stream.start, stream.end).layers()
+        done = max(0, len(held) - 7)
+        held, place = held[done:], place + done
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str, list | range]]:
+    """(start, end, characters, their places) of each line's base64 tokens and of wrapped blocks."""
+    for m in BASE64.finditer(text):
+        clean = m[0].rstrip("=")
+        yield m.start(), m.end(), clean.translate(STANDARD), range(m.start(), m.start() + len(clean))
+    for m in WRAPPED.finditer(text):
+        lines, i = [(x.start(), x.end()) for x in ONE_LINE.finditer(text, m.start(), m.end())], 0
+        size = lambda j: lines[j][1] - lines[j][0]
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and size(j) == size(i):
+                j += 1
+            last = j + (j < len(lines) and size(j) < size(i))
+            for stop in {j, last}:  # with a shorter line behind, and without, as it may be a word
+                if stop - i > 1:
+                    places = [k for a, b in lines[i:stop] for k in range(a, b) if text[k] != "="]
+                    yield lines[i][0], lines[stop - 1][1], "".join(text[k] for k in places).translate(STANDARD), places
+            i = j
+
+
+def _matters(text: str) -> bool:
+    """Whether something may be found in a text, or in what it unwraps to."""
+    return ":" in text or "=" in text or "%" in text or "\\" in text or "&" in text or "\0" in text or "AKIA" in text or bool(HEX.search(text) or BASE64.search(text) or WIDE.search(text))
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -212,26 +304,22 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
                 yield new
             if not line.isascii() and (new := _replaced(line, s, e, WIDE, _wide)):
                 yield new
-    for m in BASE64.finditer(text):
-        data = _from_base64(m[0])
-        if not data:
-            continue
-        pieces = inflated(data)
-        if pieces is not None:
-            s, e = starts[m.start()], ends[m.end() - 1]
-            for window in _windows(pieces):
-                yield Layer(window, [s] * len(window), [e] * len(window))
-            continue
-        plain = _as_text(data)
-        if plain is not None:
-            places = [i for i in range(m.start(), m.end()) if text[i] not in "\r\n="]
+    for start, end, clean, places in _tokens(text):
+        for n, kind in (x for x in _packed(clean) if x[0] == 0):
+            parts = lambda n=n, kind=kind, clean=clean: _texts(inflated(_chunks(iter([clean[n:]])), kind))
+            yield from Stream(parts, starts[places[n]], ends[end - 1]).layers()
+        # A token may begin with a name or path: bytes are read from all four places where a group can begin.
+        for n in range(1):
+            plain = _bytes_of(clean[n:]).decode("utf-8", "surrogateescape")
+            if not _matters(plain):
+                continue
             s, e, byte = [], [], 0
             for c in plain:
-                n = len(c.encode())
-                s.append(starts[places[byte * 8 // 6]])
-                e.append(ends[places[((byte + n) * 8 - 1) // 6]])
-                byte += n
-            yield Layer(plain, s, e)
+                size = 1 if c < "\x80" or "\udc80" <= c < "\udd00" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                s.append(starts[places[n + byte * 8 // 6]])
+                e.append(ends[places[n + ((byte + size) * 8 - 1) // 6]])
+                byte += size
+            yield Layer(LONE.sub("\ufffd", plain), s, e)
 
 
 def find(text: str | None) -> list[tuple[str, int, int, int]]:
@@ -255,6 +343,16 @@ def find(text: str | None) -> list[tuple[str, int, int, int]]:
     return [(*x, n) for x, n in found.items()]
 
 
+class _Same:
+    """One place for all characters."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, at):
+        return [self.place] * (at.stop - at.start) if isinstance(at, slice) else self.place
+
+
 class _Own:
     """The places of a document's own characters, without a list of them."""
 

@@ -110,6 +110,21 @@ def test_secret_layers():
     assert secrets.find(None) == [] and secrets.find("%" * 1000 + "41" + "\\u" * 99) == []
 
 
+def hidden(text: str) -> bool:
+    return any(k == "assign" and n for k, _, _, n in secrets.find(text))
+
+
+def test_secret_in_base64_before_a_next_line():
+    wrap = lambda b: base64.b64encode(b).decode()
+    plain, lines = wrap(b"the password=hunter2longer value is for the dbabcde"), wrap(b"a line of words. " * 20 + b"password=hunter2222 " + b"more. " * 12)
+    for word in ("Hello", "plain", "x", "The", "and"):
+        assert hidden(f"{plain}\n{word} next"), word
+        assert hidden(f"{wrap(gzip.compress(b'some words ' * 3 + b'password=hunter2222 at the end of it', mtime=0))}\n{word} next"), word
+        for width in (64, 76):
+            block = "\n".join(lines[i : i + width] for i in range(0, len(lines), width))
+            assert hidden(f"{block}\n{word} next") and hidden(f"{block}\r\n{word}"), (word, width)
+
+
 def test_secret_query(spark, nasty):
     for r in queries.QUERIES["op1_secret_scan"](spark, nasty).where("doc_id IS NULL").collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (1, 0, 0, "assign:12:26") and r.base_sha256 == sha("assign:12:26")
