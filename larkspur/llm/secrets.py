@@ -7,8 +7,10 @@ character of a layer knows which characters of the whole text it came from, so t
 the document.
 
 Escapes are unwrapped line by line, as no secret spans lines; base64 token by token, a line's by itself and lines of one
-length with a shorter last one together. Compressed data are unwrapped in windows of ``WINDOW`` characters that overlap by ``OVERLAP``.
-All of it maps to the span of its token.
+length with a shorter last one together. Of compressed data all members that follow each other are read. They are unwrapped in windows of ``WINDOW`` characters that
+overlap by ``OVERLAP``; a base64 token that goes on behind its window is read as a stream, from its beginning. What is left
+out are single secrets longer than the overlap, and base64 that is itself escaped (percent, Unicode) and both longer than the
+overlap and cut by a window's end. All of it maps to the span of its token.
 
 Base spans (layer 0) are leftmost and do not overlap within a kind. Defined results: a null or empty text has no spans. The
 same span found in several layers counts once, for the outermost. Repeated rows and null ids are scanned each. A table
@@ -153,7 +155,10 @@ def inflated(chunks: Iterator[bytes], kind: str) -> Iterator[bytes]:
             for rest in (chunk[i : i + 256] for i in range(0, len(chunk), 256)) if kind == "zstd" else (chunk,):
                 while True:
                     if d.eof:
-                        return
+                        rest = rest.lstrip(b"\0")  # padding
+                        if not rest:
+                            break
+                        d = _decompressor(kind)
                     piece = d.decompress(rest) if kind == "zstd" else d.decompress(rest, WINDOW)
                     if piece:
                         yield piece
@@ -305,6 +310,11 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
             if not line.isascii() and (new := _replaced(line, s, e, WIDE, _wide)):
                 yield new
     for start, end, clean, places in _tokens(text):
+        if layer.stream and start == 0 and layer.before and TOKEN_PART.fullmatch(layer.before):
+            continue  # began in the window before, which has followed it
+        if layer.stream and layer.more and end == len(text) and isinstance(places, range):
+            yield from _open_token(layer, BASE64.match(text, start))
+            continue
         for n, kind in (x for x in _packed(clean) if x[0] == 0):
             parts = lambda n=n, kind=kind, clean=clean: _texts(inflated(_chunks(iter([clean[n:]])), kind))
             yield from Stream(parts, starts[places[n]], ends[end - 1]).layers()

@@ -125,6 +125,23 @@ def test_secret_in_base64_before_a_next_line():
             assert hidden(f"{block}\n{word} next") and hidden(f"{block}\r\n{word}"), (word, width)
 
 
+def test_secret_in_later_members_and_nested_streams():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    wrap = lambda b: base64.b64encode(b).decode()
+    for pack in (lambda b: gzip.compress(b), bz2.compress, lzma.compress, zstandard.compress, zlib.compress):
+        assert hidden(wrap(pack(b"first words ") + pack(b"password=hunter2222")))
+        assert hidden(wrap(pack(b"a" * 100) + pack(b"b") + pack(b"-" * (2 << 20) + b" password=hunter2222")))
+    noise = random.Random(1).randbytes(900_000)
+    for shift in (0, 1):
+        nested = wrap(gzip.compress(noise + b" password=hunter2222 "))
+        assert hidden(wrap(gzip.compress(b"." * 1000 + b" " * shift + nested.encode() + b" end")))
+        assert hidden(wrap(gzip.compress(b" " * shift + wrap(b"words and " * 150_000 + b"password=hunter2222 ").encode())))
+
+
 def test_secret_query(spark, nasty):
     for r in queries.QUERIES["op1_secret_scan"](spark, nasty).where("doc_id IS NULL").collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (1, 0, 0, "assign:12:26") and r.base_sha256 == sha("assign:12:26")
