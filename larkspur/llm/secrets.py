@@ -7,7 +7,9 @@ character of a layer knows which characters of the whole text it came from, so t
 the document.
 
 Escapes are unwrapped line by line, as no secret spans lines; base64 token by token, a line's by itself and lines of one
-length with a shorter last one together. Of compressed data all members that follow each other are read. They are unwrapped in windows of ``WINDOW`` characters that
+length with a shorter last one together. Bytes are read from all four places of a token where a group may begin, as a name
+or a path may stand before it, and scanned with errors replaced, and without zero bytes (UTF-16). Compressed data may begin
+anywhere in a token; all members that follow each other are read. They are unwrapped in windows of ``WINDOW`` characters that
 overlap by ``OVERLAP``; a base64 token that goes on behind its window is read as a stream, from its beginning. What is left
 out are single secrets longer than the overlap, and base64 that is itself escaped (percent, Unicode) and both longer than the
 overlap and cut by a window's end. All of it maps to the span of its token.
@@ -309,17 +311,19 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
                 yield new
             if not line.isascii() and (new := _replaced(line, s, e, WIDE, _wide)):
                 yield new
+    if "\0" in text and (new := _replaced(text, starts, ends, NULS, lambda m: [])):  # UTF-16 and UTF-32
+        yield new
     for start, end, clean, places in _tokens(text):
         if layer.stream and start == 0 and layer.before and TOKEN_PART.fullmatch(layer.before):
             continue  # began in the window before, which has followed it
         if layer.stream and layer.more and end == len(text) and isinstance(places, range):
             yield from _open_token(layer, BASE64.match(text, start))
             continue
-        for n, kind in (x for x in _packed(clean) if x[0] == 0):
+        for n, kind in _packed(clean):
             parts = lambda n=n, kind=kind, clean=clean: _texts(inflated(_chunks(iter([clean[n:]])), kind))
             yield from Stream(parts, starts[places[n]], ends[end - 1]).layers()
         # A token may begin with a name or path: bytes are read from all four places where a group can begin.
-        for n in range(1):
+        for n in range(4):
             plain = _bytes_of(clean[n:]).decode("utf-8", "surrogateescape")
             if not _matters(plain):
                 continue

@@ -142,6 +142,16 @@ def test_secret_in_later_members_and_nested_streams():
         assert hidden(wrap(gzip.compress(b" " * shift + wrap(b"words and " * 150_000 + b"password=hunter2222 ").encode())))
 
 
+def test_secret_in_base64_behind_a_name_or_in_other_bytes():
+    inner = "so password=hunter2222 it is"
+    for data in (inner.encode(), inner.encode("utf-16"), inner.encode("utf-16-be"), bytes(range(128, 256)) + b" " + inner.encode() + bytes(range(128, 256)), gzip.compress(inner.encode()), zlib.compress(inner.encode())):
+        for before in ("https://host.example/cb/", "id-", "key_", "a/", "ab/", "abc/", "abcd-", ""):
+            for coded in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+                text = f"see {before}{coded} there"
+                assert hidden(text), text
+                assert all(text[4:b] and 4 <= a and b <= len(text) - 6 for k, a, b, n in secrets.find(text) if n)
+
+
 def test_secret_query(spark, nasty):
     for r in queries.QUERIES["op1_secret_scan"](spark, nasty).where("doc_id IS NULL").collect():
         assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (1, 0, 0, "assign:12:26") and r.base_sha256 == sha("assign:12:26")
