@@ -1,9 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table (h1, h2, n_docs, last_doc), one row per distinct line key, hash-partitioned and sorted by the
-128-bit hash of the key. A batch of documents becomes one level-0 run; ``fanout`` runs of a level are compacted into one
-run of the next. Each new batch is merge-anti-joined with the runs: both sides are dealt and sorted by the hash, so the
-join is a merge of sorted runs, and a key that is frequent in them marks the batch's lines.
+A run is a Parquet table (h1, h2, n_docs, last_doc), one row per distinct line key, sorted by the 128-bit hash of the key
+within its files. A batch of documents becomes one level-0 run; ``fanout`` runs of a level are compacted into one run of the
+next by union and grouping, for which Spark deals and sorts them anew. When all batches are in, all lines are inner-joined
+with the frequent keys of all runs: the counts go over all documents, later ones too, and the largest of them keeps the line,
+so that a batch's anti-join with the runs before it can't mark its lines. ``LineRuns.fresh`` is that anti-join; the query
+doesn't use it.
 
 Defined results: a null or empty text is one empty line and stays as it is. A null doc_id counts as one document, smaller
 than all others. Rows that repeat a doc_id count as one document. Lines whose key has under ``min_chars`` code points
