@@ -45,30 +45,60 @@ def shipped(query: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
     sc = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
         set_to = sc._jsc.sc().getCheckpointDir()
         set_to = set_to.get() if set_to.isDefined() else None
     if not set_to:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = tempfile.mkdtemp(prefix="larkspur-")
         sc.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder among those of this application, which can go when it has ended."""
-    return f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new folder among those of this application, which go when it ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/larkspur-{sc.applicationId}"
+    if getattr(sc, "_larkspur_folder", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._larkspur_folder = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that nothing reads any more."""
+    sc = spark.sparkContext
+    for name in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: lineage ends here."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+def written(df: DataFrame, name: str, path: str | None = None, by: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder (in a folder for each value of ``by``) and read again: lineage ends here."""
+    path = path or new_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *by: str, path: str | None = None, sort: bool = False) -> DataFrame:
+    """Like ``written``, dealt into buckets by columns: joins and groupings by these need no exchange. The catalog forgets it at once."""
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    entry = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
+    (writer.sortBy(*by) if sort else writer).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # its files stay
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; plain lower() where every character is ASCII, which is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

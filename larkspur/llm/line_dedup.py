@@ -1,11 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table (h1, h2, n_docs, last_doc), one row per distinct line key, sorted by the 128-bit hash of the key
-within its files. A batch of documents becomes one level-0 run; ``fanout`` runs of a level are compacted into one run of the
-next by union and grouping, for which Spark deals and sorts them anew. When all batches are in, all lines are inner-joined
-with the frequent keys of all runs: the counts go over all documents, later ones too, and the largest of them keeps the line,
-so that a batch's anti-join with the runs before it can't mark its lines. ``LineRuns.fresh`` is that anti-join; the query
-doesn't use it.
+A run is a table (h1, h2, n_docs, last_doc), one row per distinct line key, dealt into buckets by the 128-bit hash of the key
+and sorted by it. No key lies in two runs: a new batch's keys are merge-anti-joined with every run, and what is left is the
+batch's own run at level 0. Keys that a run has already are merged into a tally of further holders. ``fanout`` runs of a level are
+compacted into one of the next. Buckets stay what they are, so that these joins deal no rows anew. When all batches are in,
+lines meet the keys that runs and tally say are frequent: counts go over all documents, later ones too, and the largest of
+them keeps the line.
 
 Defined results: a null or empty text is one empty line and stays as it is. A null doc_id counts as one document, smaller
 than all others. Rows that repeat a doc_id count as one document. Lines whose key has under ``min_chars`` code points
@@ -19,9 +19,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, new_path, table, written
+from .common import WS, ascii_lower, bucketed, new_path, removed, table, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
+BATCHES, FANOUT = 5, 4
 NO_ID = -(2**63)
 
 
@@ -46,48 +47,75 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = [[]]
+        #: For each level its (path, table), oldest first.
+        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
+        self.tally: tuple[str, DataFrame] | None = None
+
+    def _kept(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = new_path(self.spark, name)
+        return path, bucketed(df, name, "h1", "h2", path=path, sort=True)
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch of (doc, h1, h2) as one run. No document may lie in two batches."""
+        """Adds a batch of (doc, h1, h2). No document may lie in two batches."""
         # The first grouping splits a line that a third of all documents hold by document; only sums per task meet.
         once = lines.select("h1", "h2", "doc").distinct()
-        run = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
-        self._put(0, run)
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        path = new_path(self.spark, f"lines-L{level}")
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        batch = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
+        if not self._runs():
+            self._put(0, self._kept(batch, "lines-L0"))
+            return
+        path, batch = self._kept(batch, "lines-batch")
+        own = self._kept(self.fresh(batch), "lines-L0")
+        more, done = self._kept(_anti(batch, own[1]), "lines-more"), [path]
+        if self.tally:
+            done += [self.tally[0], more[0]]
+            more = self._kept(_added(self.tally[1], more[1], "full"), "lines-more")
+        self.tally = more
+        removed(self.spark, done)
+        self._put(0, own)
+
+    def _put(self, level: int, run: tuple[str, DataFrame]) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merge(full))
+            # No key lies in two of them: their sorted buckets are laid together.
+            self._put(level + 1, self._kept(reduce(DataFrame.unionByName, (t for _, t in full)), f"lines-L{level + 1}"))
+            removed(self.spark, [p for p, _ in full])
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, (self.spark.read.parquet(p) for p in paths))
-        if len(paths) == 1:
-            return runs
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def _runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in level]
 
     def all(self) -> DataFrame:
-        """One row per key, over all runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._merge(paths) if paths else self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
+        """One row per key, over all runs and the tally."""
+        runs = self._runs()
+        if not runs:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
+        # Each run by itself: what Spark says of a union's partitions doesn't hold for columnar scans of buckets.
+        return reduce(DataFrame.unionByName, (_added(r, self.tally[1], "left") if self.tally else r for r in runs))
 
     def fresh(self, lines: DataFrame) -> DataFrame:
-        """The lines of a new batch whose key is in no run yet."""
-        return lines.join(self.all().hint("merge"), ["h1", "h2"], "left_anti")
+        """The rows of a new batch whose key is in no run yet."""
+        return reduce(_anti, self._runs(), lines)
 
     def marked(self, lines: DataFrame, min_docs: int) -> DataFrame:
         """The lines whose key at least ``min_docs`` documents hold, but for those of the largest of these documents."""
-        frequent = self.all().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        frequent = written(self.all().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "lines-frequent")
         return lines.join(frequent, ["h1", "h2"]).where("doc <> last_doc")
 
 
+def _anti(lines: DataFrame, run: DataFrame) -> DataFrame:
+    return lines.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+
+
+def _added(runs: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    joined = runs.join(more.select("h1", "h2", F.col("n_docs").alias("n"), F.col("last_doc").alias("last")).hint("merge"), ["h1", "h2"], how)
+    n_docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))
+    return joined.select("h1", "h2", n_docs.alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+
+
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT
 ) -> DataFrame:
     """All columns of docs with the text that is left, plus n_lines and n_dropped (an earlier column of that name goes)."""
     return _rebuilt(docs, id_col, text_col, min_chars, min_docs, batches, fanout)
@@ -101,7 +129,7 @@ def _rebuilt(docs, id_col, text_col, min_chars, min_docs, batches, fanout) -> Da
     version = F.xxhash64(text)
     slim = docs.select(doc.alias("doc"), version.alias("version"), text.alias("text"))
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches))
-    lines = written(hashed_lines(slim, min_chars).withColumn("batch", batch.cast("int")), "lines")
+    lines = written(hashed_lines(slim, min_chars).withColumn("batch", batch.cast("int")), "lines", by="batch")
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
