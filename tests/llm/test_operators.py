@@ -351,19 +351,58 @@ def test_top_k(spark, nasty):
     assert got == [(0, 1, 1, a(512, 256)), (0, 2, 1, a(512, 256)), (0, 3, 100, a(512, 256)), (0, 4, 8, a(-3072, 4096)), (100, 1, 0, a(512, 256)), (100, 2, 1, a(512, 256)), (100, 3, 1, a(512, 256)), (100, 4, 8, a(-3072, 4096)), (200, 1, 7, 2 << 20)]
 
 
+def plain_top(rows: list[tuple], queries: list[tuple], k: int = 10) -> list[tuple]:
+    """Products in Python's whole numbers."""
+    out = []
+    for q, x in queries:
+        scores = [(max(-(2**63), min(2**63 - 1, sum(map(int.__mul__, map(int, x), map(int, y))))), i) for i, y in rows if i != q and len(x) == len(y)]
+        out += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda r: (-r[0], r[1]))[:k], 1)]
+    return out
+
+
 @pytest.mark.parametrize("spread", [0.0, 1.0, 3.0])
-def test_search_prunes_without_loss(spread):
+@pytest.mark.parametrize("batch", [700, 5000])
+def test_search_prunes_without_loss(spread, batch):
     r = np.random.default_rng(4)
     v = np.floor(200 * r.standard_normal((5000, 8)) * np.exp(spread * r.standard_normal((5000, 1))))
     v[100:200] = v[:100]
-    ids, q = r.permutation(5000), v[:40]
-    got = defaultdict(list)
-    for i, p, s in top_k.search(ids[:40], q, ids, v, 10):
-        got[i].append((s, int(ids[p])))
-    for i in range(40):
-        scores = (v @ q[i]).astype(int)
-        want = sorted(((s, c) for s, c in zip(scores.tolist(), ids.tolist(), strict=True) if c != ids[i]), key=lambda x: (-x[0], x[1]))[:10]
-        assert sorted(got[i], key=lambda x: (-x[0], x[1])) == want
+    ids = r.permutation(5000)
+    search = top_k.Search(ids[:40], v[:40])
+    order = np.argsort(-top_k.lengths(v))
+    for at in range(0, 5000, batch):
+        search.meet(ids[order[at : at + batch]], v[order[at : at + batch]])
+    got = sorted((q, -s, i) for q, i, s in search.rows())
+    assert got == sorted((q, -s, i) for q, _, i, s in plain_top(list(zip(ids.tolist(), v, strict=True)), list(zip(ids[:40].tolist(), v[:40], strict=True))))
+
+
+def test_unit_vectors_in_many_partitions_and_blocks(spark):
+    r = np.random.default_rng(6)
+    v = r.standard_normal((600, 5)).astype("f4")
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    v[::3] = v[0]  # a third of all rows hold one vector
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(7)
+    whole = [(i, np.floor(1024 * x.astype(float))) for i, x in enumerate(v)]
+    want = plain_top(whole, whole[::20])
+    for block in (top_k.BLOCK, 60):
+        got = top_k.top_k(df, df.where("vec_id % 20 = 0"), block=block, head=50)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("huge", [1e17, 1e200, 1e306])
+@pytest.mark.parametrize("at", [0, 2])
+def test_huge_finite_components_lose_nothing(spark, huge, at):
+    r = np.random.default_rng(8)
+    rows = [(i, r.integers(-9, 9, 3).astype(float).tolist()) for i in range(300)]
+    for i in (5, 40, 160):
+        rows[i][1][at] = huge if i != 40 else -huge
+    rows.append((301, [huge] * 3))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    top = 1.7976931348623157e308
+    whole = [(i, [max(-top, min(top, math.floor(1024 * x) if abs(x) < 1e300 else math.copysign(top, x))) for x in v]) for i, v in rows]
+    got = top_k.top_k(df, df.where("vec_id % 20 = 0"))
+    assert sorted(map(tuple, got.collect())) == sorted(plain_top(whole, [w for w in whole if w[0] % 20 == 0]))
 
 
 # ---- 8
@@ -391,9 +430,22 @@ def test_line_runs(spark):
         assert {r.h1 for r in runs.fresh(b).collect()} == ({1, 2} if b is batches[0] else {2 + batches.index(b)})
         runs.add(b)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+    # No key lies in two runs.
+    assert sorted(r.h1 for run in runs._runs() for r in run.collect()) == [1, 2, 3, 4, 5, 6]
     assert {(r.h1, r.n_docs, r.last_doc) for r in runs.all().collect()} == {(1, 15, 42)} | {(2 + b, 3, b * 10 + 2) for b in range(5)}
 
 
+def test_line_runs_need_no_exchange(spark):
+    runs = line_dedup.LineRuns(spark, fanout=4)
+    lines = spark.range(200).selectExpr("id % 20 doc", "xxhash64(id % 50) h1", "id % 50 h2")
+    for b in range(3):
+        runs.add(lines.where(f"doc % 3 = {b}"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    a, b, *_ = runs._runs()
+    assert "SortMergeJoin" in plan(line_dedup._anti(b, a)) and "Exchange" not in plan(line_dedup._anti(b, a)) and plan(runs.all()).count("SortMergeJoin") == 3 and "Exchange" not in plan(runs.all())
+    assert {r.h2: r.n_docs for r in runs.all().collect()} == {h: len({i % 20 for i in range(h, 200, 50)}) for h in range(50)}
+
+
 # ---- 9
 def test_bpe(spark, nasty, sf):
     import public_tokenizers
