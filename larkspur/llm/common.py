@@ -99,6 +99,23 @@ def bucketed(df: DataFrame, name: str, *by: str, path: str | None = None, sort:
     return out
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs under names that meet no others, the new names of some columns, and how a result gets all the old ones back."""
+    own = docs.columns
+    new = [f"own_{i}" for i in range(len(own))]
+    return docs.toDF(*new), [new[own.index(n)] for n in names], lambda out: out.select(*new).toDF(*own)
+
+
+def within(sizes: list[int], bound: int) -> list[int]:
+    """Places of the sizes that are taken, one after the other, if a bound on their sum takes each that still fits."""
+    taken, left = [], bound
+    for i, size in enumerate(sizes):
+        if size <= left:
+            taken.append(i)
+            left -= size
+    return taken
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; plain lower() where every character is ASCII, which is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

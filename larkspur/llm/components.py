@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import new_path, removed, written
 
+#: A node is hot if it has more than this many links, and more than 2 / HOT_NODES of them all: there are HOT_NODES such at most.
+HOT_LINKS, HOT_NODES = 1000, 4096
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def spread_join(rows: DataFrame, keys: DataFrame, key: str, hot: Column) -> DataFrame:
+    """rows joined with keys, a table of one row for each value of ``key``. Those that are hot are broadcast, so that their rows
+    stay where they are; the caller knows how many they are at most."""
+    few = keys.where(hot)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(keys.where(~hot), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """edges: (a, b). Large: every node hands its least neighbour to its larger ones; small: to its smaller ones and itself."""
     sides = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*") if large else edges
-    least = sides.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    # A node with a third of all links is split here: the other side has one row a node.
-    met = sides.join(least, "a")
+    least = sides.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("links")).select("a", F.least("a", "least").alias("least"), "links")
+    # A node with a third of all links is hot: its links don't meet in one task.
+    met = spread_join(sides, least, "a", F.col("links") > hot).drop("links")
     if large:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
     return met.select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
@@ -21,13 +32,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root): the least node reachable from each node of links (a, b), two long columns. Loops give no row."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    sums = None
+    spark = links.sparkSession
+    path = new_path(spark, "links")
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", path)
+    state = lambda: tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    sums = state()
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "stars")
+        old, path = path, new_path(spark, "stars")
+        hot = max(HOT_LINKS, 2 * sums[0] // HOT_NODES)
+        edges = written(_star(_star(edges, True, hot), False, hot), "stars", path)
+        removed(spark, [old])
         # At the end every node hangs on its root alone; two equal rounds in a row are that state.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state()
         if now == sums:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         sums = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """components with a row for each root, too."""
+    return found.unionByName(found.select("root").distinct().select(F.col("root").alias("node"), "root"))

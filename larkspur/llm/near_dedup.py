@@ -7,9 +7,9 @@
    here. Its least id stands for it. Copies go no further.
 3. Classes that share a bucket are strung to the bucket's least class, and connected components of these strings are
    clusters: all candidate pairs lie within clusters, and no pairs are listed.
-4. Each class's text is sent to its cluster once. A task finds the true links by comparing full sets, breadth first: a
-   member is compared with those not reached yet, which finds the same components as all pairs would. Clusters beyond a
-   task's bound are cut into blocks, and each two blocks meet in a task of their own, so that no link is lost.
+4. The links are found by comparing full sets. A cluster that fits into a task is one: breadth first, a member is compared with
+   those not reached yet, which finds the same components as all pairs would. In a larger one documents are compared with
+   representatives of their buckets first, and those that share a bucket and aren't linked by then with each other (linking).
 5. Components of the true links give each document the least id that it reaches.
 
 Defined results: a null or empty text has an empty set and is linked with nothing. Each row without an id is a document of
@@ -22,16 +22,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
-from .components import components
+from .common import WORD, ship, table, written
+from .components import components, with_roots
+from .linking import cuts, large_links, small_links
 
 PERMUTATIONS, BANDS, ROWS = 75, 30, 5
 SHINGLE, PERCENT = 4, 80
-#: What a task of step 4 holds of a block, in documents and shingles.
+#: What a task of step 4 holds, in documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 NO_ID = -(2**63)
 _WORDS = re.compile(WORD)
@@ -134,62 +136,6 @@ def _signed(shingle: int, permutations: int, bands: int, rows: int):
     return run
 
 
-def reached(sets: list, percent: int = PERCENT) -> list[int]:
-    """For each set the place of the one from which it was first reached, or its own: links that keep components whole."""
-    import numpy as np
-
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    origin, open_ = np.arange(n), np.arange(n)
-    mark = np.zeros(len(vocabulary), bool)
-    elements, bounds = flat, starts[:-1]
-    for root in range(n):
-        if origin[root] != root or root not in open_:
-            continue
-        queue = [root]
-        open_, elements, bounds = _without(open_, np.array([root]), flat, starts)
-        while queue and len(open_):
-            at = queue.pop()
-            own = flat[starts[at] : starts[at + 1]]
-            mark[own] = True
-            common = np.add.reduceat(mark[elements], bounds, dtype=np.int64)
-            mark[own] = False
-            found = open_[100 * common >= percent * (sizes[open_] + sizes[at] - common)]
-            if len(found):
-                origin[found] = at
-                queue.extend(found.tolist())
-                open_, elements, bounds = _without(open_, found, flat, starts)
-    return origin.tolist()
-
-
-def _without(open_, gone, flat, starts):
-    """The places that are left, with their elements and where each one's begin."""
-    import numpy as np
-
-    left = np.setdiff1d(open_, gone, assume_unique=True)
-    if not len(left):
-        return left, flat[:0], left
-    sizes = starts[left + 1] - starts[left]
-    ends = np.cumsum(sizes)
-    return left, flat[np.repeat(starts[left] - (ends - sizes), sizes) + np.arange(ends[-1])], ends - sizes
-
-
-def _linked(shingle: int, percent: int):
-    def run(group):
-        import pyarrow as pa
-
-        shingler = Shingler(shingle)
-        once = dict(zip(group.column("node").to_pylist(), group.column("text").to_pylist(), strict=True))
-        nodes = sorted(once)
-        origin = reached([shingler(once[x]) for x in nodes], percent)
-        pairs = [(nodes[i], nodes[o]) for i, o in enumerate(origin) if i != o]
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-    return run
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
@@ -204,6 +150,7 @@ def _judged(
     permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per row of docs: doc, version (a hash of the text), n, component, kept."""
+    ship(docs.sparkSession)
     doc, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     slim = docs.select(doc.alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     # A row without an id is told from others by its number.
@@ -218,29 +165,31 @@ def _judged(
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
     strung = keyed.join(buckets, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    clusters = components(strung)
-    # Roots are members, too.
-    members = clusters.unionByName(clusters.select("root").distinct().select(F.col("root").alias("node"), "root"))
-    members = members.join(classes.select("node", _known("doc"), "version", "n"), "node")
+    members = with_roots(components(strung)).join(classes.select("node", _known("doc"), "version", "n"), "node")
     weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    cuts = F.ceil(F.greatest(F.col("docs") / block_docs, F.col("shingles") / block_shingles)).cast("int")
-    placed = members.join(weights.select("root", cuts.alias("cuts")), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    # Two blocks meet once; a block alone meets itself.
-    others = F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: (F.col("cuts") == 1) | (o != F.col("own")))
-    placed = placed.select("node", "doc", "version", "root", "own", F.explode(others).alias("other"))
-    task = F.struct("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task")
-    texts = written(placed.groupBy("doc", "version", "node").agg(F.collect_list(task).alias("tasks")), "members")
+    whole = cuts("docs", "shingles", block_docs, block_shingles) == 1
+    members = written(members.join(weights.select("root", whole.alias("whole")), "root"), "members")
+    # Rows that repeat a text of one id would all be sent.
+    once = slim.select(_known("doc"), "version", "text")
+    if some.groupBy(_known("doc"), "version").count().where("count > 1").take(1):
+        once = once.dropDuplicates(["doc", "version"])
     # Merged at any size: texts of a small table would be read with the members broadcast, those of a large one shuffled.
-    sent = slim.select(_known("doc"), "version", "text").join(texts.hint("merge"), ["doc", "version"]).select(F.explode("tasks").alias("task"), "node", "text")
-    links = sent.groupBy("task").applyInArrow(_linked(shingle, percent), "a long, b long")
+    texts = once.join(members.hint("merge"), ["doc", "version"]).select("node", "root", "whole", "n", "text")
+    shingler = partial(Shingler, shingle)
+    if members.where("NOT whole").take(1):
+        texts = written(texts, "member-texts")
+        links = small_links(texts.where("whole"), shingler, percent)
+        for found in large_links(texts.where("NOT whole"), keyed, shingler, percent, block_docs, block_shingles):
+            links = links.unionByName(found)
+    else:
+        links = small_links(texts, shingler, percent)
 
     # Texts of one id are linked.
     vertices = some.where("doc IS NOT NULL").select("doc", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
     vertices = written(vertices, "vertices")
     same = vertices.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").select("doc", "b")
     same = vertices.join(same, "doc").select(F.col("node").alias("a"), "b")
-    roots = components(links.unionByName(same))
-    roots = roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    roots = with_roots(components(links.unionByName(same)))
     # A component is named by its least id; where it has none, one row stays for it.
     own = classes.select("h1", "h2", "node", "doc", "row")
     alone = F.min(F.when(F.col("doc").isNull(), F.struct("h1", "h2", "row")))["row"]
@@ -262,16 +211,16 @@ def _known(doc: str) -> Column:
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, text and more) whose document stays for its group, one row for each."""
-    none = lambda doc: doc.isNull().alias("_none")
     # Rows without an id are found by their text.
-    key = lambda doc, version: F.when(doc.isNull(), version).otherwise(doc).alias("_key")
+    key = lambda doc, version: (doc.isNull().alias("none"), F.when(doc.isNull(), version).otherwise(doc).alias("key"))
     found = _judged(docs.select("doc_id", "text"), **options).where("kept AND (doc IS NOT NULL OR n > 0)")
-    kept = found.select(none(F.col("doc")), key(F.col("doc"), F.col("version"))).distinct()
-    doc = F.col("doc_id").cast("long")
-    joined = docs.select("*", none(doc), key(doc, F.xxhash64("text"))).join(kept, ["_none", "_key"])
+    kept = found.select(*key(F.col("doc"), F.col("version"))).distinct()
+    # Columns of docs lie in a struct: names of their own don't meet those used here.
+    doc, own = F.col("doc_id").cast("long"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    once = docs.select(own, *key(doc, F.xxhash64("text"))).dropDuplicates(["none", "key"])
     # Without an id and without a word: each stays.
     empty = docs.where(doc.isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
-    return joined.dropDuplicates(["_none", "_key"]).select(*docs.columns).unionByName(empty)
+    return once.join(kept, ["none", "key"]).select("own.*").unionByName(empty)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
