@@ -12,7 +12,8 @@ or a path may stand before it, and scanned with errors replaced, and without zer
 anywhere in a token; all members that follow each other are read. They are unwrapped in windows of ``WINDOW`` characters that
 overlap by ``OVERLAP``; a base64 token that goes on behind its window is read as a stream, from its beginning. What is left
 out are single secrets longer than the overlap, and base64 that is itself escaped (percent, Unicode) and both longer than the
-overlap and cut by a window's end. All of it maps to the span of its token.
+overlap and cut by a window's end. All of it maps to the span of its token. What a layer holds is gone through before the next
+is made, so that memory is that of a few windows for each depth of nesting, whatever the data inflate to.
 
 Base spans (layer 0) are leftmost and do not overlap within a kind. Defined results: a null or empty text has no spans. The
 same span found in several layers counts once, for the outermost. Repeated rows and null ids are scanned each. A table
@@ -25,18 +26,19 @@ import base64
 import binascii
 import bz2
 import codecs
+import hashlib
 import html
 import lzma
 import re
 import unicodedata
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -83,23 +85,26 @@ class Layer:
 
 def _replaced(text: str, starts, ends, pattern: re.Pattern, unwrap) -> Layer | None:
     """Each match becomes what unwrap gives: a list of (characters, from, to) within it, or None to leave it."""
-    out, s, e, last = [], [], [], 0
+    out, last = [], 0
+    s, e = _map(starts), _map(ends)
     for m in pattern.finditer(text):
         new = unwrap(m)
         if new is None:
             continue
         out.append(text[last : m.start()])
-        s += starts[last : m.start()]
-        e += ends[last : m.start()]
+        s.take(starts, last, m.start())
+        e.take(ends, last, m.start())
         for chars, a, b in new:
             out.append(chars)
-            s += [starts[m.start() + a]] * len(chars)
-            e += [ends[m.start() + b - 1]] * len(chars)
+            s.add(starts[m.start() + a], len(chars))
+            e.add(ends[m.start() + b - 1], len(chars))
         last = m.end()
     if not out:
         return None
     out.append(text[last:])
-    return Layer("".join(out), s + starts[last : len(text)], e + ends[last : len(text)])
+    s.take(starts, last, len(text))
+    e.take(ends, last, len(text))
+    return Layer("".join(out), s, e)
 
 
 def _percent(m: re.Match):
@@ -301,7 +306,7 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
     if "%" in text and PERCENT.search(text) or "\\" in text or "&" in text or not text.isascii() and WIDE.search(text):
         at = 0
         for line in text.split("\n"):
-            s, e = starts[at : at + len(line)], ends[at : at + len(line)]
+            s, e = _Part(starts, at), _Part(ends, at)
             at += len(line) + 1
             if "%" in line:
                 short = _replaced(line, s, e, PERCENT_CHAIN, lambda m: [("%", 0, len(m[0]))] if len(m[0]) > 3 else None) or Layer(line, s, e)
@@ -327,11 +332,14 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
             plain = _bytes_of(clean[n:]).decode("utf-8", "surrogateescape")
             if not _matters(plain):
                 continue
-            s, e, byte = [], [], 0
+            s, e, byte = _map(starts), _map(ends), 0
+            if isinstance(s, _Same):
+                yield Layer(LONE.sub("\ufffd", plain), s, e)
+                continue
             for c in plain:
                 size = 1 if c < "\x80" or "\udc80" <= c < "\udd00" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-                s.append(starts[places[n + byte * 8 // 6]])
-                e.append(ends[places[n + ((byte + size) * 8 - 1) // 6]])
+                s.add(starts[places[n + byte * 8 // 6]], 1)
+                e.add(ends[places[n + ((byte + size) * 8 - 1) // 6]], 1)
                 byte += size
             yield Layer(LONE.sub("\ufffd", plain), s, e)
 
@@ -343,17 +351,26 @@ def find(text: str | None) -> list[tuple[str, int, int, int]]:
     found = {x: 0 for x in scan(text)}
     if not ("%" in text or "\\" in text or "&" in text or BASE64.search(text) or not text.isascii() and WIDE.search(text)):
         return [(*x, 0) for x in found]
-    seen, work = set(), deque([(Layer(text, _Own(0), _Own(1)), 0)])
+    # The layer at which a text was seen at a place; one that comes again further out is gone through again.
+    seen: dict[bytes, int] = {}
+    # A layer's contents are taken up before the next layer is made: what is held is one layer of each depth.
+    work = [_unwrapped(Layer(text, _Own(0), _Own(1)))]
     while work:
-        layer, depth = work.popleft()
-        for new in _unwrapped(layer):
-            key = (new.text, new.starts[0], new.ends[-1]) if new.text else None
-            if key is None or key in seen:
-                continue
-            seen.add(key)
-            for kind, a, b in scan(new.text):
-                found.setdefault((kind, new.starts[a], new.ends[b - 1]), depth + 1)
-            work.append((new, depth + 1))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if not new.text:
+            continue
+        depth = len(work)
+        key = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16, key=b"%d:%d" % (new.starts[0], new.ends[len(new.text) - 1])).digest()
+        if seen.get(key, depth + 1) <= depth:
+            continue
+        seen[key] = depth
+        for kind, a, b in scan(new.text):
+            span = kind, new.starts[a], new.ends[b - 1]
+            found[span] = min(found.get(span, depth), depth)
+        work.append(_unwrapped(new))
     return [(*x, n) for x, n in found.items()]
 
 
@@ -363,8 +380,14 @@ class _Same:
     def __init__(self, place: int):
         self.place = place
 
-    def __getitem__(self, at):
-        return [self.place] * (at.stop - at.start) if isinstance(at, slice) else self.place
+    def __getitem__(self, at: int) -> int:
+        return self.place
+
+    def take(self, places, first: int, last: int) -> None:
+        pass
+
+    def add(self, place: int, n: int) -> None:
+        pass
 
 
 class _Own:
@@ -373,8 +396,43 @@ class _Own:
     def __init__(self, shift: int):
         self.shift = shift
 
-    def __getitem__(self, at):
-        return list(range(at.start + self.shift, at.stop + self.shift)) if isinstance(at, slice) else at + self.shift
+    def __getitem__(self, at: int) -> int:
+        return at + self.shift
+
+
+class _Part:
+    """Places from one of them on."""
+
+    def __init__(self, places, first: int):
+        self.places, self.first = places, first
+
+    def __getitem__(self, at: int) -> int:
+        return self.places[self.first + at]
+
+
+class _Listed:
+    """Places one by one."""
+
+    def __init__(self) -> None:
+        self.places = array("i")
+
+    def __getitem__(self, at: int) -> int:
+        return self.places[at]
+
+    def take(self, places, first: int, last: int) -> None:
+        while isinstance(places, _Part):
+            places, first, last = places.places, first + places.first, last + places.first
+        self.places.extend(range(first + places.shift, last + places.shift) if isinstance(places, _Own) else places.places[first:last])
+
+    def add(self, place: int, n: int) -> None:
+        self.places.extend([place] * n)
+
+
+def _map(places):
+    """A new map of characters that come from these."""
+    while isinstance(places, _Part):
+        places = places.places
+    return places if isinstance(places, _Same) else _Listed()
 
 
 def _rows(batches: Iterator) -> Iterator:
@@ -390,6 +448,7 @@ def _rows(batches: Iterator) -> Iterator:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of every row; a span has kind, start, end (code points, end exclusive) and layer (0: the text itself)."""
+    ship(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return slim.mapInArrow(_rows, "doc_id long, spans array<struct<kind:string,start:int,end:int,layer:int>>")
 
