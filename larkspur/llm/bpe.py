@@ -6,7 +6,7 @@
    table of distinct words. The ids go back under the numbers that each block gave the word.
 3. Blocks meet their words again by block number, and ids are joined back by position.
 
-Nothing is broadcast but the vocabulary; a task holds one block, or the distinct words of the parts that it was dealt.
+Nothing is broadcast but the vocabulary; a task holds one block, or the distinct words of one part.
 Texts are never shuffled. Decoding joins ids with the vocabulary's pieces, batch by batch.
 
 Words are what the vocabulary's own normalizer and pre-tokenizer make of a text. Texts of U+0000 to U+00FF, for which
@@ -28,7 +28,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import bucketed, new_path, ship, table
 
 BLOCK_WORDS, CHUNK_WORDS = 2_000_000, 100_000
 VOCABULARY = "word_bpe_49k.json"
@@ -174,9 +174,12 @@ def _encoded(vocabulary):
 
         words = _words_of(vocabulary.value)
         known: dict[str, list[int]] = {}
+        last = None
         for batch in batches:
             out = []
-            for packed in batch.column("words").to_pylist():
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if part != last:  # rows come by part: a word is in one part only
+                    known, last = {}, part
                 here = zstandard.ZstdDecompressor().decompress(packed).decode().split("\n")
                 ids = []
                 for w in here:
@@ -190,14 +193,19 @@ def _encoded(vocabulary):
     return run
 
 
-def pieces_of(vocabulary):
-    """The piece of each id, by id."""
+@lru_cache(maxsize=2)
+def _pieces_of(source: str):
     import numpy as np
 
-    tok = _words_of(vocabulary.value).tok
+    tok = _words_of(source).tok
     return np.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(True))], object)
 
 
+def pieces_of(vocabulary):
+    """The piece of each id, by id."""
+    return _pieces_of(vocabulary.value)
+
+
 def joined_pieces(bounds, flat, pieces):
     """The text of each list of ids: an id-to-piece join, then one space between pieces."""
     import pyarrow as pa
@@ -253,16 +261,16 @@ def encode(
     vocabulary: path of a tokenizers file; parts: into how many the table of distinct words is cut.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary_source(vocabulary))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    # Written in buckets of blocks: the documents' numbers are not shuffled again.
+    # In buckets of blocks: the documents' numbers are not shuffled again.
     path = new_path(spark, "bpe-blocks")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    slim.mapInArrow(_blocks(shared, parts or 2 * buckets, block_words), BLOCKS).write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    words = spark.read.schema(BLOCKS).parquet(path).where("part >= 0").select("block", "part", "codes", "words").repartition("part")
+    blocks = bucketed(slim.mapInArrow(_blocks(shared, parts or 2 * buckets, block_words), BLOCKS), "bpe-blocks", "block", path=path)
+    words = spark.read.schema(BLOCKS).parquet(path).where("part >= 0").select("block", "part", "codes", "words").repartition("part").sortWithinPartitions("part")
     ids = words.mapInArrow(_encoded(shared), "block long, codes binary, ids binary, id_counts binary")
-    own = spark.table(name).where("part < 0").select("block", "doc_ids", "sizes", "codes")
+    own = blocks.where("part < 0").select("block", "doc_ids", "sizes", "codes")
     return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(shared, decoded), "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
@@ -283,6 +291,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Adds decoded to a table with ids: the ids' pieces, joined by one space. Null ids are not allowed in a list."""
     from pyspark.sql import types as T
 
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary_source(vocabulary))
     rest = encoded.drop("decoded").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
     return rest.mapInArrow(_decoded(shared), T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
