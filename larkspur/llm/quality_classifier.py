@@ -5,7 +5,7 @@
 2. Expectation-maximisation over the tallies estimates the share of good documents and, for each labeller, how it votes on
    good and on bad ones, without any label. Each pattern gets its posterior.
 3. A linear scorer over hashed features (words, word shapes, binned measures) is fitted to the posteriors of a seeded sample
-   of about ``SAMPLE`` documents, and scores every whole text.
+   of documents, at most ``SAMPLE`` and ``SAMPLE_BYTES`` of text, and scores every whole text.
 
 Defined results: a null or empty text, and one of white space, scores 0 and is not kept. Repeated rows and null ids are
 scored each. A table without rows gives no rows. Columns other than the id and the text are handed on unseen; earlier
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, table
+from .common import WORD, set_aside, ship, table, within
 
-SAMPLE, BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_FROM = 4000, 1 << 16, 60, 60, 0.5
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
+BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_FROM = 1 << 16, 60, 60, 0.5
 LABELLERS = ("symbols", "capitals", "exclamations", "variety", "commonest", "word_length", "sentences", "letters", "runs")
 SYMBOLS = "#*$%&|<>~^@=_\\{}"
 _WORDS = re.compile(WORD)
@@ -33,7 +34,7 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 
 def _shape(word: str) -> str:
     """Letters become A or a, digits 0; runs become one."""
-    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 class Profiler:
@@ -196,17 +197,19 @@ def _patterns(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["pattern"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, seed: str = "quality"):
+def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: str = "quality"):
     """The scorer's weights, and what the estimate says of the labellers. docs: (doc_id, text)."""
+    spark = docs.sparkSession
+    ship(spark)
     tallies = docs.select("text").mapInArrow(_patterns, "pattern int").groupBy("pattern").count().collect()
     posterior, about = estimate([r.pattern for r in tallies], [r["count"] for r in tallies])
-    total = sum(r["count"] for r in tallies)
-    share = min(1.0, sample / max(1, total))
-    # The hash is even over 2^63: about ``sample`` documents come to the driver, whatever the table's size.
-    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.char_length("text")), F.lit(1 << 40)) < int(share * (1 << 40))
-    rows = docs.where(chosen).select("doc_id", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
-    profiles = [p for p in Profiler()([r.text for r in rows]) if p is not None]
+    # The least hashes of whole rows: repeated rows count once, and the driver gets what the bounds say at any size.
+    hashed = docs.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("by"), "text")
+    first = hashed.groupBy("by").agg(F.max(F.octet_length("text")).alias("size")).where("size > 0").orderBy("by").limit(sample).collect()
+    taken = [(first[i].by,) for i in within([r["size"] for r in first], sample_bytes)]
+    chosen = spark.createDataFrame(taken, "by long")
+    rows = hashed.join(F.broadcast(chosen), "by").dropDuplicates(["by"]).collect() if taken else []
+    profiles = [p for p in Profiler()([r.text for r in sorted(rows, key=lambda r: r.by)]) if p is not None]
     return fit(profiles, [posterior.get(pattern(p[3]), 0.5) for p in profiles]), about
 
 
@@ -214,6 +217,7 @@ def classify(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "
     """All columns of docs with score and kept."""
     import numpy as np
 
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "kept")])
     place = rest.columns.index(text_col)
@@ -241,7 +245,8 @@ def classify(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
     weights, _ = train(docs.select("doc_id", "text"), sample)
-    return classify(docs, weights).where("kept").select(*docs.columns)
+    own, (text,), restored = set_aside(docs, "text")
+    return restored(classify(own, weights, text_col=text).where("kept"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
