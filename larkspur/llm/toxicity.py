@@ -1,7 +1,7 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-The model is fitted on a bounded sample of labelled rows, ``SAMPLE_TOXIC`` and ``SAMPLE_OTHER`` documents at most, near
-copies left out. Labels are given to documents, so tokens are labelled first: a token of a toxic document is toxic if its
+The model is fitted on a bounded sample of labelled rows, ``SAMPLE_TOXIC`` and ``SAMPLE_OTHER`` documents and
+``SAMPLE_BYTES`` of text at most, near copies left out. Labels are given to documents, so tokens are labelled first: a token of a toxic document is toxic if its
 word, or one of the word's beginnings, lies in toxic documents so much more often than the share of these documents
 accounts for that chance is ruled out. A chain over the tokens of a sentence then learns from these labels, by gradient of
 the exact likelihood; features are the word and its beginnings of 3 to 6 letters, so that unseen forms of a stem count.
@@ -26,9 +26,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, ship, table, within
 
-SAMPLE_TOXIC, SAMPLE_OTHER, SENTENCES = 1000, 3000, 16_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES, SENTENCES = 1000, 3000, 64 << 20, 16_000
 CHAIN, FOLDS, RARE = 256, 5, 1e-6
 ROUNDS, RATE, SHRINK = 60, 0.5, 1e-5
 _WORDS = re.compile(WORD)
@@ -283,13 +283,20 @@ class Tagger:
         return list(zip(expected.tolist(), largest.tolist(), places, strict=True))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> tuple[list, list]:
-    """Texts and labels of a seeded, bounded sample of the labelled rows outside fold 0."""
+def sampled(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, sample_bytes: int = SAMPLE_BYTES) -> tuple[list, list]:
+    """Texts and labels of a seeded sample of the labelled rows outside fold 0, bounded in rows and bytes."""
+    spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id") != 0)
     by = F.xxhash64(F.lit("toxicity"), "doc_id")
     ids = known.where("toxic = 1").orderBy(by).limit(toxic).unionByName(known.where("toxic = 0").orderBy(by).limit(other))
-    # At most toxic + other ids are broadcast, and as many documents come to the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    # At most toxic + other ids are broadcast, and as many sizes, then texts under the bound, come to the driver.
+    sized = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(ids), "doc_id")
+    sized = sized.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.max("size"), F.lit(0)).alias("size")).orderBy(by).collect()
+    taken = [(sized[i].doc_id, sized[i].toxic) for i in within([r["size"] for r in sized], sample_bytes)]
+    if not taken:
+        return [], []
+    chosen = F.broadcast(spark.createDataFrame(taken, "doc_id long, toxic int"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.toxic == 1 for r in rows]
 
@@ -300,6 +307,7 @@ def fold(column: str):
 
 def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans) of every row; a span has start, end (code points, end exclusive) and marginal."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
