@@ -92,10 +92,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     times = mixed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), **options).where("size > 0 AND times > 0")
     # Rows that repeat a document have one row of ``times`` each, all alike.
     times = times.groupBy("doc_id", "source", "size").agg(F.max("times").alias("times"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("times").alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
-    repeated = docs.join(times, same).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*docs.columns)
+    # Columns of docs lie in a struct: names of their own don't meet those used here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words(F.col("text")).alias("words"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return own.join(times, same).select("own", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("own.*")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
