@@ -44,23 +44,25 @@ def _scaled(scale: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        largest = np.finfo(float).max
         for batch in batches:
-            places, ids, vectors, sizes = [], [], [], []
-            for place, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if i is None or not x.is_valid or x.values.null_count:
-                    continue
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(v).all():
-                    with np.errstate(over="ignore"):
-                        v = np.clip(np.floor(scale * v), -np.finfo(float).max, np.finfo(float).max)
-                    places.append(place)
-                    ids.append(i)
-                    vectors.append(v)
-                    sizes.append(float(lengths(v[None])[0]))
-            bounds = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype("i4")
-            flat = pa.array(np.concatenate([np.zeros(0), *vectors]))
-            columns = [pa.array(places, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.diff(bounds), pa.int32()), pa.array(sizes, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds), flat)]
+            place, ids, lists = batch.columns
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN here
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            takes = pc.and_(pc.is_valid(ids), pc.is_valid(lists)).to_numpy(zero_copy_only=False) & (np.bincount(row, weights=~np.isfinite(flat), minlength=len(sizes)) == 0)
+            with np.errstate(over="ignore"):
+                v = np.clip(np.floor(scale * flat[takes[row]]), -largest, largest)
+            sizes = sizes[takes]
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            long_ = np.zeros(len(sizes))
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                long_[at] = lengths(v[bounds[at][:, None] + np.arange(dim)])
+            mask = pa.array(takes)
+            columns = [place.filter(mask), ids.filter(mask), pa.array(sizes.astype(np.int32)), pa.array(long_), pa.ListArray.from_arrays(pa.array(bounds.astype("i4")), pa.array(v))]
             yield pa.RecordBatch.from_arrays(columns, ["place", "id", "dim", "length", "v"])
 
     return run
