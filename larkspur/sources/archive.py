@@ -5,6 +5,7 @@ Indexes are read with NumPy where they are regular. Everything here works on byt
 
 from __future__ import annotations
 
+import bisect
 import re
 import struct
 from dataclasses import dataclass
@@ -55,8 +56,6 @@ class Index:
     bucket: int
 
     def find(self, key: bytes) -> tuple[int, int, int] | None:
-        import bisect
-
         width = len(self.prefixes[0]) if self.prefixes else 0
         i = bisect.bisect_left(self.prefixes, key[:width])
         if i == len(self.prefixes) or self.prefixes[i] != key[:width]:
@@ -118,22 +117,23 @@ def active_indexes(names: list[str], versions: list[int]) -> dict[int, str]:
 # ---- ENCODING and ROOT
 @dataclass
 class Encoding:
-    """Content keys and the encoded keys of each; pages are searched on demand."""
+    """Content keys and the encoded keys of each; the page table tells which page to search."""
 
+    firsts: list[bytes]
     pages: list[bytes]
 
     def find(self, content_key: bytes) -> list[bytes]:
-        for page in self.pages:
-            if content_key in page:
-                at = 0
-                while at + 22 <= len(page):
-                    n = page[at]
-                    if not n:
-                        at += 1
-                        continue
-                    if page[at + 6 : at + 22] == content_key:
-                        return [page[at + 22 + 16 * i : at + 38 + 16 * i] for i in range(n)]
-                    at += 22 + 16 * n
+        place = bisect.bisect_right(self.firsts, content_key) - 1
+        page = self.pages[place] if place >= 0 else b""
+        at = 0
+        while at + 22 <= len(page):
+            n = page[at]
+            if not n:
+                at += 1
+                continue
+            if page[at + 6 : at + 22] == content_key:
+                return [page[at + 22 + 16 * i : at + 38 + 16 * i] for i in range(n)]
+            at += 22 + 16 * n
         return []
 
 
@@ -146,7 +146,8 @@ def read_encoding(data: bytes) -> Encoding:
     size, at = page_kb * 1024, 0x16 + spec + count * 32
     if at + count * size > len(data):
         raise ArchiveError("ENCODING pages break off")
-    return Encoding([data[at + i * size : at + (i + 1) * size] for i in range(count)])
+    firsts = [data[0x16 + spec + 32 * i : 0x26 + spec + 32 * i] for i in range(count)]
+    return Encoding(firsts, [data[at + i * size : at + (i + 1) * size] for i in range(count)])
 
 
 def _root_payload(data: bytes) -> bytes:

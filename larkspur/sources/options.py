@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
+
+from .files import read_text
 
 #: Fixed names: what a connection string may call each option.
 ALIASES = {
@@ -17,6 +18,8 @@ ALIASES = {
     "manifest": ("manifest", "manifestpath", "manifestdirectory"),
     "strict_keys": ("strict_keys", "stricttactkeys", "strictkeys"),
     "version": ("version", "wowversion"),
+    "decoder": ("decoder",),
+    "provider": ("provider",),
 }
 #: Fixed names: how a manifest may call a table's file id.
 FILE_ID_NAMES = ("db2FileDataID", "db2FileDataId", "fileDataID", "fileDataId", "FileDataID", "fdid")
@@ -38,7 +41,7 @@ def read_keys(path: str | None) -> dict[int, bytes]:
     """Lines of a key's lookup and the key, both in hexadecimal; no path, no keys."""
     keys: dict[int, bytes] = {}
     if path:
-        for line in Path(path).read_text(encoding="utf-8").splitlines():
+        for line in read_text(path).splitlines():
             words = line.split()
             if len(words) >= 2 and not line.startswith("#"):
                 keys[int(words[0], 16)] = bytes.fromhex(words[1])
@@ -73,12 +76,3 @@ class Manifest:
 
     def resolve(self, table: str) -> int | None:
         return self.ids.get(self.normal(table))
-
-
-def find_file(folder: str, table: str, ending: str) -> Path:
-    """The file of a table, its name without regard to case."""
-    wanted = (table + ending).lower()
-    found = sorted(p for p in Path(folder).iterdir() if p.name.lower() == wanted)
-    if not found:
-        raise FileNotFoundError(f"{folder} has no {table}{ending}")
-    return found[0]

@@ -98,3 +98,51 @@ def test_options_keys_manifest(spark, tmp_path):
     a = spark.createDataFrame([(1, b"\xbb"), (2, b"\xaa"), (3, b"\x01")], "id int, value binary")
     b = spark.createDataFrame([(1, b"\x10"), (2, b"\x20")], "id int, value binary")
     assert [r.line for r in export_keys(a, b).collect()] == ["AA 20", "BB 10"]
+
+
+STORES = '''
+DBD = """{dbd}"""
+
+
+def store(options, table):
+    return options["path"] + "/things.DB2"
+
+
+def provider(options, table):
+    assert table == "Things"
+    return DBD
+
+
+def keys(options):
+    return {{}}
+
+
+def decoder(content, keys):
+    from larkspur.sources.format import TableFile
+
+    return TableFile(content, keys)
+'''
+
+
+def test_plugged_in_stores(spark, folder, tmp_path):
+    (tmp_path / "own_store.py").write_text(STORES.format(dbd=DBD))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_store.py"))
+    own = {k: f"own_store:{k}" for k in ("store", "provider", "keys", "decoder")}
+    df = spark.read.format("binary-table").options(path=folder, table="Things", version="1.0.0.1", **own).load()
+    assert sorted(r.ID for r in df.collect()) == [7, 101, 102, 103]
+
+
+def test_a_partition_reads_its_own_records(folder):
+    from larkspur.sources.files import Source
+    from larkspur.sources.format import TableFile
+
+    path = f"{folder}/things.DB2"
+    for address in (path, f"file://{path}", f"file:{path}"):
+        file = TableFile(address)
+        got = []
+        read = Source.read
+        file.source.read = lambda at, n, file=file: got.append((at, n)) or read(file.source, at, n)
+        rows = file.sections[0].rows(1, 3)
+        s = file.sections[0]
+        assert (s.begin + file.record_size, 2 * file.record_size) in got and sum(n for _, n in got) < file.source.size / 2
+        assert file.ids(rows).tolist() == [102, 103] and rows.places.tolist() == [1, 2]
