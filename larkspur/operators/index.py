@@ -1,21 +1,25 @@
 """An equality index: a side table of (value, row key), sorted by value, so that a lookup reads a few row groups of it.
 
-A lookup joins the few keys that it finds with the table, and the predicate is checked again. An index whose table, field,
-version or layout differ from what is asked for, or that cannot be read, is not used: the lookup scans and says so in the log.
+The keys that a lookup finds become a filter of the table's scan, which reads the row groups that hold them; where they are more
+than ``MOST_KEYS``, the scan by value alone is as good, and the index isn't used. The predicate is checked again; rows that came
+after the index was built aren't found, so that a table that changes needs a new version. An index whose table, field, version or layout differ from what is asked for,
+or that cannot be read, is not used: the lookup scans and says so in the log.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 log = logging.getLogger(__name__)
+MOST_KEYS = 1000
 
 
 @dataclass
@@ -34,7 +38,7 @@ class EqualityIndex:
     def build(df: DataFrame, table: str, field_: str, keys: list[str], version: str, layout: str = "", path: str | None = None) -> EqualityIndex:
         """Writes the index; any number, text or date column that is no key."""
         spark = df.sparkSession
-        shared = path or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-index-")
+        shared = path or shared_folder(spark)
         index = EqualityIndex(f"{shared.rstrip('/')}/index-{table}-{field_}-{uuid.uuid4().hex}", table, field_, list(keys), version, layout)
         rows = df.select(F.col(f"`{field_}`").alias("value"), *keys).where("value IS NOT NULL")
         rows.repartitionByRange("value", *keys).sortWithinPartitions("value").withColumn("stamp", F.lit(index._stamp())).write.parquet(index.path)
@@ -46,11 +50,17 @@ class EqualityIndex:
             first = rows.select("stamp").first()
             if first is not None and first.stamp != self._stamp():
                 raise ValueError("the index was built for another table, field, version or layout")
-            found = rows.where(on_index).select(*self.keys).distinct()
+            found = rows.where(on_index).select(*self.keys).distinct().limit(MOST_KEYS + 1).collect()
         except Exception as why:  # noqa: BLE001  an index only speeds up: whatever is wrong with it, a scan is right
             log.warning("index %s is not used: %s", self.path, str(why).split("\n")[0])
             return df.where(on_table)
-        return df.join(found, self.keys, "left_semi").where(on_table)
+        if len(found) > MOST_KEYS:
+            log.info("index %s has more than %d keys: the table is scanned", self.path, MOST_KEYS)
+            return df.where(on_table)
+        for key in self.keys:
+            values = {r[key] for r in found}
+            df = df.where(F.col(f"`{key}`").isin(list(values)) if values and None not in values else F.lit(bool(values)))
+        return df.where(on_table)
 
     def find(self, df: DataFrame, value) -> DataFrame:
         return self._probe(df, F.col("value") == F.lit(value), F.col(f"`{self.field_}`") == F.lit(value))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +14,13 @@ from .functions import text as t
 from .operators.index import EqualityIndex
 from .operators.query import Query, Session
 from .plans.sample_model import session
-from .streaming.windows import tumbling
+from .plans.registry import Registry
+from .sources.definitions import parse_definition, resolve
+from .sources.files import shared_folder, write_bytes
+from .sources.options import export_keys
+from .sources.session import binary_session
+from .sources.writer import Part, write_table
+from .streaming.windows import sessions, sliding, tumbling
 
 c = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,30 +280,30 @@ def include_shared_key(s):
 
 @query("SELECT n_nationkey, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '') AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def include_collection(s):
-    return s.table("nation").include("customers").to_df().select("n_nationkey", listed("customers", lambda x: x["c_custkey"]).alias("customers"))
+    return s.table("nation").include("customers", ["c_custkey"]).to_df().select("n_nationkey", listed("customers", lambda x: x["c_custkey"]).alias("customers"))
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def include_collection_empty(s):
-    return s.table("orders").include("lines").to_df().select("o_orderkey", F.size("lines").cast("long").alias("n"))
+    return s.table("orders").include("lines", ["l_linenumber"]).to_df().select("o_orderkey", F.size("lines").cast("long").alias("n"))
 
 
 @query("SELECT l_orderkey AS o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
 def include_key_array(s):
-    return s.table("order_parts").include("parts").to_df().select("o_orderkey", listed("parts", lambda x: x["p_brand"]).alias("brands"))
+    return s.table("order_parts").include("parts", ["p_brand"]).to_df().select("o_orderkey", listed("parts", lambda x: x["p_brand"]).alias("brands"))
 
 
 @query("""SELECT r_regionkey, string_agg(n_nationkey || ':' || n, ',' ORDER BY n_nationkey) AS nations FROM region JOIN
   (SELECT n_nationkey, n_regionkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
 def then_include(s):
-    df = s.table("region").include("nations").then_include("customers").to_df()
+    df = s.table("region").include("nations", ["n_nationkey"]).then_include("customers", ["c_custkey"]).to_df()
     return df.select("r_regionkey", listed("nations", lambda x: F.concat_ws(":", x["n_nationkey"], F.size(x["customers"]))).alias("nations"))
 
 
 @query("""WITH p AS (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 5)
   SELECT c_custkey, n_name AS nation, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM p LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def include_after_page(s):
-    df = s.table("customer").order_by("c_acctbal", desc=True).skip(5).take(10).include("nation").include("orders").to_df()
+    df = s.table("customer").order_by("c_acctbal", desc=True).skip(5).take(10).include("nation").include("orders", ["o_orderkey"]).to_df()
     return df.select("c_custkey", c("nation.n_name").alias("nation"), F.size("orders").cast("long").alias("orders"))
 
 
@@ -308,7 +316,7 @@ def sentinel_zero(s):
   SELECT c_custkey, n_name AS nation, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders FROM p LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, n_name""")
 def flagship(s):
     q = s.table("customer").where(lambda x: x.count("orders", c("o_totalprice") > 100000) >= 5).order_by("c_acctbal", desc=True).skip(10).take(10)
-    return q.include("nation").include("orders").to_df().select("c_custkey", c("nation.n_name").alias("nation"), listed("orders", lambda x: x["o_orderkey"]).alias("orders"))
+    return q.include("nation").include("orders", ["o_orderkey"]).to_df().select("c_custkey", c("nation.n_name").alias("nation"), listed("orders", lambda x: x["o_orderkey"]).alias("orders"))
 
 
 # ---- beyond the core set
@@ -450,3 +458,165 @@ def equality_index(s):
 def equality_index_range(s):
     index = EqualityIndex.build(s.rows(s.registry["part"]), "part", "p_size", ["p_partkey"], version="sample")
     return index.find_range(s.rows(s.registry["part"]), 10, 12).select("p_partkey", "p_size")
+
+
+# ---- further joins
+@query("SELECT s_suppkey, r_name FROM supplier JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON s_nationkey = n_nationkey")
+def join_inner_side(s):
+    inner = s.table("nation").join(s.table("region"), "n_regionkey", "r_regionkey").where(c("r_name") != "ASIA")
+    return s.table("supplier").join(inner, "s_nationkey", "n_nationkey").select("s_suppkey", "r_name")
+
+
+@query("""SELECT o.o_orderkey FROM orders o JOIN (SELECT o_custkey, o_orderstatus, max(o_orderdate) AS latest FROM orders GROUP BY ALL) l
+  ON o.o_custkey = l.o_custkey AND o.o_orderstatus = l.o_orderstatus AND o.o_orderdate = l.latest""")
+def join_composite(s):
+    latest = s.of(s.table("orders").group_by("o_custkey", "o_orderstatus").agg(F.max("o_orderdate").alias("latest")))
+    return s.table("orders").join(latest, ["o_custkey", "o_orderstatus", "o_orderdate"], ["o_custkey", "o_orderstatus", "latest"], prefix="l_").select("o_orderkey")
+
+
+@query("SELECT c_custkey, r_name FROM customer JOIN region ON c_nationkey % 5 = r_regionkey AND upper(substr(c_mktsegment, 1, 1)) > 'D'")
+def join_computed(s):
+    left = s.table("customer").where(F.upper(F.substring("c_mktsegment", 1, 1)) > "D")
+    return left.join(s.table("region"), c("c_nationkey") % 5, lambda x: x["r_regionkey"], hint="broadcast").select("c_custkey", "r_name")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def join_theta(s):
+    q = s.table("nation").join_where(s.table("nation"), lambda a, b: (a("n_regionkey") == b("n_regionkey")) & (a("n_nationkey") < b("n_nationkey")), prefix="o_")
+    return q.select(a="n_nationkey", b="o_n_nationkey")
+
+
+@query("SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
+def join_cross(s):
+    return s.table("nation").cross_join(s.table("region")).select("n_nationkey", "r_regionkey")
+
+
+@query("""SELECT p_partkey, grade FROM part LEFT JOIN (VALUES (900.0, 1000.0, 'low'), (1000.0, 1200.5, 'middle'), (1200.0, 1500.0, 'high')) AS g(least, most, grade)
+  ON p_retailprice BETWEEN least AND most""")
+def join_range(s):
+    grades = s.spark.createDataFrame([(900.0, 1000.0, "low"), (1000.0, 1200.5, "middle"), (1200.0, 1500.0, "high")], "least double, most double, grade string")
+    return s.table("part").join_range(s.of(grades), "p_retailprice", "least", "most", width=100, how="left").select("p_partkey", "grade")
+
+
+_AS_OF = """SELECT event_id, (SELECT max(v.ts) FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts) AS seen FROM events e WHERE event_type = 'purchase'"""
+
+
+@query(_AS_OF)
+def join_as_of(s):
+    kind = lambda k: s.table("events").where(c("event_type") == k)
+    return kind("purchase").join_as_of(kind("view"), "ts", "ts", {"user_id": "user_id"}, prefix="v_").select("event_id", seen="v_ts")
+
+
+@query(_AS_OF)
+def join_as_of_in_steps(s):
+    kind = lambda k: s.table("events").where(c("event_type") == k)
+    return kind("purchase").join_as_of(kind("view"), "ts", "ts", {"user_id": "user_id"}, prefix="v_", width=86_400).select("event_id", seen="v_ts")
+
+
+# ---- more of the query layer
+@query("SELECT c_custkey FROM customer ORDER BY lower(c_mktsegment) DESC, c_custkey LIMIT 7 OFFSET 2")
+def order_by_collation(s):
+    return s.table("customer").order_by("c_mktsegment", desc=True, collation="UNICODE_CI").skip(2).take(7).select("c_custkey")
+
+
+@query("SELECT n_nationkey FROM nation")
+def include_after_projection(s):
+    return s.table("nation").select("n_nationkey").include("customers")
+
+
+@query("SELECT s_suppkey, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def auto_include(s):
+    eager = replace(s.registry["supplier"], auto_include=("nation",))
+    own = Session(s.spark, Registry({**s.registry.entities, "supplier": eager}), s.read)
+    return own.table("supplier").to_df().select("s_suppkey", c("nation.n_name").alias("nation"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 40")
+def skip_ordered(s):
+    return s.table("orders").order_by("o_totalprice", desc=True).skip(40).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 2000 OR o_orderkey < 0 ORDER BY o_totalprice")
+def take_while_ordered(s):
+    return s.table("orders").order_by("o_totalprice").take_while(c("o_totalprice") < 2000).select("o_orderkey")
+
+
+@query("""SELECT l_orderkey AS o_orderkey, l_partkey AS part FROM lineitem WHERE l_partkey > 150
+  UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY l_orderkey HAVING max(l_partkey) <= 150""")
+def select_many_outer(s):
+    q = s.table("order_parts").select("o_orderkey", large=F.filter("part_keys", lambda k: k > 150))
+    return q.select_many("large", "part", outer=True).select("o_orderkey", "part")
+
+
+@query("SELECT n_nationkey, hex(n_name) AS code FROM nation")
+def hex_text(s):
+    return s.table("nation").select("n_nationkey", code=t.hex_of(c("n_name")))
+
+
+@query("SELECT hex(n_name) || ' ' || hex(r_name) AS line FROM nation JOIN region ON n_nationkey = r_regionkey")
+def key_export(s):
+    value = lambda name, key, text: s.table(name).to_df().select(c(key).alias("id"), F.encode(text, "UTF-8").alias("value"))
+    return export_keys(value("nation", "n_nationkey", "n_name"), value("region", "r_regionkey", "r_name"))
+
+
+@query("SELECT date_trunc('hour', ts) - to_hours(k) AS start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL")
+def sliding_windows(s):
+    return sliding(s.table("events").to_df(), "ts", "3 hours", "1 hour", "event_type")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+  g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o)
+  SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, g""")
+def session_windows(s):
+    return sessions(s.table("events").to_df(), "ts", "1 hour", "user_id")
+
+
+# ---- the binary source: nation and region, written as files of it and read back
+_BINARY = {
+    "Nation": "COLUMNS\nint ID\nstring Name\nint<Region::ID> RegionID\n\nBUILD 1.0.0.1\n$noninline,id$ID<32>\nName\nRegionID<8>\n",
+    "Region": "COLUMNS\nint ID\nstring Name\n\nBUILD 1.0.0.1\n$noninline,id$ID<32>\nName\n",
+}
+
+
+def _binary(s: Session, key: bytes | None = None, with_key: bool = True) -> Session:
+    """Both tables have a fixed number of rows at every scale. Ids are keys plus 1, as 0 names nothing there. With a key, every second nation is encrypted."""
+    folder = f"{shared_folder(s.spark)}/larkspur-binary-{uuid.uuid4().hex}"
+    rows = {
+        "Nation": [(r.n_nationkey + 1, [r.n_name, r.n_regionkey + 1]) for r in s.table("nation").to_df().orderBy("n_nationkey").collect()],
+        "Region": [(r.r_regionkey + 1, [r.r_name]) for r in s.table("region").to_df().orderBy("r_regionkey").collect()],
+    }
+    for name, text in _BINARY.items():
+        fields = list(resolve(name, parse_definition(text), "1.0.0.1").fields)
+        part = lambda own, **more: Part([i for i, _ in own], [v for _, v in own], **more)
+        parts = [part(rows[name][::2]), part(rows[name][1::2], key_lookup=0xABC, key=key)] if key and name == "Nation" else [part(rows[name])]
+        write_bytes(f"{folder}/{name}.dbd", text.encode())
+        write_bytes(f"{folder}/{name}.db2", write_table(fields, parts))
+    options = {"path": folder, "definitions": folder, "version": "1.0.0.1"}
+    if key and with_key:
+        write_bytes(f"{folder}/keys.txt", f"{0xABC:016X} {key.hex()}\n".encode())
+        options["keys"] = f"{folder}/keys.txt"
+    return binary_session(s.spark, options)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def binary_roundtrip(s):
+    return _binary(s).table("Nation").select("Name", Id="Id", RegionID="RegionID").to_df().select((c("Id") - 1).alias("n_nationkey"), c("Name").alias("n_name"), (c("RegionID") - 1).alias("n_regionkey"))
+
+
+@query("SELECT n_name FROM nation WHERE n_nationkey = 7 UNION ALL SELECT n_name FROM nation WHERE n_nationkey IN (3, 11)")
+def binary_lookup(s):
+    own = _binary(s)
+    return own.find_df("Nation", 8).select(c("Name").alias("n_name")).unionByName(own.find_many("Nation", [12, 4, 99]).select(c("Name").alias("n_name")))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 4")
+def binary_include(s):
+    return _binary(s).table("Nation").where(c("Id") > 5).include("Region").to_df().select(c("Name").alias("n_name"), c("Region.Name").alias("r_name"))
+
+
+@query("SELECT n_nationkey, n_name, n_nationkey % 2 = 0 AS plain FROM nation")
+def binary_encrypted(s):
+    key = bytes(range(16))
+    shown = lambda own: own.table("Nation").to_df().select((c("Id") - 1).alias("n_nationkey"), c("Name").alias("n_name"))
+    plain = shown(_binary(s, key, with_key=False)).select("n_nationkey", F.lit(True).alias("plain"))
+    return shown(_binary(s, key)).join(plain, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("plain", F.lit(False)).alias("plain"))

@@ -18,6 +18,13 @@ def tumbling(events: DataFrame, time: str, width: str, *keys: str, late: str | N
     return counts.select(F.col("w.start").alias("start"), *keys, "n")
 
 
+def sliding(events: DataFrame, time: str, width: str, step: str, *keys: str, late: str | None = None) -> DataFrame:
+    """(start, keys, n): rows of each window; windows begin every ``step`` and overlap where they are wider."""
+    events = _late(events, time, late)
+    counts = events.groupBy(F.window(time, width, step).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").alias("start"), *keys, "n")
+
+
 def sessions(events: DataFrame, time: str, gap: str, *keys: str, late: str | None = None) -> DataFrame:
     """(start, end, keys, n): rows of each session, which ends when nothing comes for ``gap``."""
     events = _late(events, time, late)

@@ -168,10 +168,91 @@ def test_equality_index(s, spark, tmp_path):
     index = EqualityIndex.build(df, "t", "V", ["Id"], "1.0", path=str(tmp_path))
     find = lambda i: sorted(r.Id for r in i.find(df, 20).collect())
     assert find(index) == [101, 103] and sorted(r.Id for r in index.find_range(df, 20, 30).collect()) == [101, 102, 103]
+    assert index.find(df, 21).count() == 0
     for stale in ({"version": "2.0"}, {"layout": "x"}, {"path": str(tmp_path / "gone")}):
         assert find(EqualityIndex(**{**index.__dict__, **stale})) == [101, 103]
 
 
+def test_an_index_narrows_the_scan(spark, tmp_path, monkeypatch):
+    spark.range(5000).selectExpr("id AS Id", "id % 1000 AS V").coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    index = EqualityIndex.build(df, "t", "V", ["Id"], "1.0", path=str(tmp_path))
+    plan = index.find(df, 7)._jdf.queryExecution().toString()
+    assert "In(Id, [" in plan and "EqualTo(V,7)" in plan and "Join" not in plan and "Exchange" not in plan
+    assert sorted(r.Id for r in index.find(df, 7).collect()) == [7, 1007, 2007, 3007, 4007]
+    monkeypatch.setattr("larkspur.operators.index.MOST_KEYS", 3)
+    plan = index.find(df, 7)._jdf.queryExecution().toString()
+    assert "In(Id" not in plan and "EqualTo(V,7)" in plan and index.find(df, 7).count() == 5
+
+
+def test_windows_of_places(s):
+    q = s.table("thing").order_by("Id")
+    for ops in ([("skip", 1), ("take", 2)], [("take", 3), ("skip", 1)], [("take", 2), ("skip", 5)], [("skip", 2), ("skip", 1)], [("skip", 9)], [("take", 4), ("skip", 1), ("take", 2), ("skip", 1)], [("skip", 0)]):
+        want, got = [1, 2, 3, 4, 5], q
+        for op, n in ops:
+            want, got = (want[n:] if op == "skip" else want[:n]), getattr(got, op)(n)
+        assert ids(got) == want and got.count() == len(want) and got.any() == bool(want), ops
+    assert ids(q.take(3).where("Id > 1").skip(1)) == [3] and q.skip(1).take(2).sum("Id").first()[0] == 5
+    assert sorted(ids(q.skip(1).take(3).order_by("Name"))) == [2, 3, 4]
+
+
+def test_skipping_with_nulls_and_ties(spark):
+    rows = [(None, 1), (None, 2), (3, 3), (3, 3), (3, 3), (1, 4), (5, None)]
+    own = Session(spark, Registry({"t": Entity("t", "b", order=("b",))}), lambda _: spark.createDataFrame(rows, "a int, b int"))
+    least = lambda v: (v is not None, v or 0)
+    for desc in (False, True):
+        order = sorted(sorted(rows, key=lambda r: least(r[1])), key=lambda r: least(r[0]), reverse=desc)
+        for n in range(9):
+            got = own.table("t").order_by("a", desc=desc).skip(n).to_df().collect()
+            assert sorted(map(tuple, got), key=str) == sorted(order[n:], key=str), (desc, n)
+        for stop in (F.col("a") != 3, F.col("a").isNull(), F.lit(True), F.lit(False)):
+            assert own.table("t").order_by("a", desc=desc).take_while(stop).count() + own.table("t").order_by("a", desc=desc).skip_while(stop).count() == 7
+
+
+def test_keys_of_joins(s):
+    c, p = s.table("child"), s.table("parent")
+    assert sorted(ids(c.join(p, F.col("MapId") * 1, lambda x: x["Id"], prefix="p_"))) == [101, 102, 103, 104, 106]
+    assert sorted(ids(c.join(c, ["Id", "MapId"], ["Id", "MapId"], prefix="o_", hint="merge"))) == [101, 102, 103, 104, 105, 106]
+    assert sorted(ids(c.join(p, [lambda x: x["parent.twin.Id"]], ["Id"], prefix="p_"))) == [101, 102]
+    with pytest.raises(ValueError):
+        c.join(p, ["Id"], ["Id", "Id"])
+    assert p.cross_join(p, "o_").count() == 16 and p.join_where(p, lambda a, b: a("Id") < b("Id"), prefix="o_").count() == 6
+
+
+def test_as_of_and_range_joins_against_plain_versions(spark):
+    import random
+
+    r = random.Random(2)
+    left = [(i, r.choice("ab") if r.random() < 0.95 else None, r.randint(0, 40) if r.random() < 0.95 else None) for i in range(150)]
+    right = [(r.choice("abc") if r.random() < 0.95 else None, r.randint(0, 40) if r.random() < 0.95 else None, i) for i in range(60)]
+    own = Session(spark, Registry({}), lambda _: None)
+    a, b = own.of(spark.createDataFrame(left, "id int, k string, t int")), own.of(spark.createDataFrame(right, "k string, t int, v int"))
+    want = {}
+    for i, k, t in left:
+        fits = [(u, v) for j, u, v in right if j is not None and j == k and u is not None and t is not None and u <= t]
+        want[i] = max(fits)[1] if fits else None
+    for width in (None, 5, 1000):
+        got = a.join_as_of(b, "t", "t", {"k": "k"}, prefix="r_", width=width).to_df()
+        assert {x.id: x.r_v for x in got.collect()} == want, width
+    ranges = own.of(spark.createDataFrame([(1, 5, "x"), (4, 30, "y"), (9, 2, "none"), (None, 7, "z"), (40, 40, "w")], "low int, high int, name string"))
+    pairs = sorted((i, n) for i, _, t in left if t is not None for lo, hi, n in [(1, 5, "x"), (4, 30, "y"), (40, 40, "w")] if lo <= t <= hi)
+    for width in (3, 100):
+        assert sorted((x.id, x.name) for x in a.join_range(ranges, "t", "low", "high", width).to_df().collect()) == pairs
+    assert a.join_range(ranges, "t", "low", "high", 7, how="left").count() == len(pairs) + sum(t is None or not any(lo <= t <= hi for lo, hi in ((1, 5), (4, 30), (40, 40))) for _, _, t in left)
+
+
+def test_columns_of_includes(s):
+    row = s.table("parent").where("Id = 2").include("children", ["MapId"]).then_include("named", ["Id"]).single()
+    assert [c.asDict(True) for c in row.children] == [{"MapId": 2, "named": []}, {"MapId": 2, "named": [{"Id": 3}]}]
+    eager = Session(s.spark, Registry({**MODEL.entities, "parent": Entity("parent", "Id", navigations=MODEL["parent"].navigations, auto_include=("twin",))}), s.read)
+    assert eager.table("parent").where("Id = 1").single().twin.V == "x"
+
+
+def test_collations(spark):
+    own = Session(spark, Registry({"t": Entity("t", "id")}), lambda _: spark.createDataFrame([(1, "b"), (2, "A"), (3, "a"), (4, "B"), (5, None)], "id int, v string"))
+    assert [r.id for r in own.table("t").order_by("v", collation="UNICODE_CI").to_list()] == [5, 2, 3, 1, 4] and [r.id for r in own.table("t").order_by("v").to_list()] == [5, 2, 4, 3, 1]
+
+
 def test_plans(spark, sf):
     s = sample(spark, sf)
     plan = lambda df: df._jdf.queryExecution().toString()
@@ -181,6 +262,26 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in plan(s.table("orders").order_by("o_totalprice").take(5).to_df())
 
 
+def test_pages_are_top_k(spark, sf):
+    from larkspur import queries
+
+    for name in ("page", "flagship", "include_after_page", "element_at", "skip_cumulative", "skip_ordered", "count_after_take", "take_while", "skip_while", "default_if_empty", "equality_index"):
+        p = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        whole = [x for x in p.split("\n") if "SinglePartition" in x and "SHUFFLE" not in x.upper()]
+        assert "rangepartitioning" not in p and "Window" not in p, name
+        if name in ("page", "flagship", "include_after_page", "element_at", "take_while", "skip_while"):
+            assert "TakeOrderedAndProject" in p and not whole, (name, p)
+
+
+def test_includes_narrow_before_they_aggregate(spark, sf):
+    s = sample(spark, sf)
+    p = s.table("customer").order_by("c_acctbal").take(5).include("orders")
+    p = p.include("nation").to_df()._jdf.queryExecution().executedPlan().toString()
+    assert p.count("LeftSemi") == 2 and p.index("ObjectHashAggregate") < p.index("LeftSemi")
+    # The whole table needs all of them.
+    assert "LeftSemi" not in s.table("customer").include("orders").to_df()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streams_and_tables_share_windows(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     table = spark.read.parquet(f"{sf}/events.parquet")
