@@ -1,12 +1,12 @@
 """True links among candidates: sets of shingles are compared in tasks of bounded size.
 
 A cluster (documents strung together by shared buckets) that fits into a task goes there whole. In a larger one only documents
-that share a bucket are compared. Every bucket has a representative, that of its documents which shares buckets with most others
-of the cluster: each document is compared with the representatives of its buckets, whose text goes to as many tasks as their
-documents need. A bucket whose documents are linked then, by whatever way, is done, which is what becomes of a group of near
-copies of one text at any size. Of the others the representative has met everyone and goes; a document of the least group
-follows, for ``ROUNDS`` rounds. What is left, mostly documents that share a bucket without being near, is compared as small
-clusters or, where these are large again, bucket by bucket; large buckets are cut into blocks that meet pairwise.
+that share a bucket are compared. Every bucket has a representative, that of its documents which shares buckets with most others:
+each document is compared with the representatives of its buckets, whose text goes to as many tasks as their documents need.
+Representatives have met everyone then and leave their buckets. A bucket whose other documents are linked, by whatever way, is
+done, which is what becomes of near copies of one text, however many. What is left, mostly documents that share a bucket without
+being near, is compared as small clusters or, where these are large again, bucket by bucket; large buckets are cut into blocks
+that meet pairwise.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import HOT_LINKS, HOT_NODES, components, spread_join, with_roots
 
-ROUNDS = 2
 LINKS = "a long, b long"
 
 
@@ -129,60 +128,48 @@ def small_links(texts: DataFrame, shingler, percent: int) -> DataFrame:
     return texts.groupBy("root").applyInArrow(_together(shingler, percent), LINKS)
 
 
-def large_links(texts: DataFrame, keyed: DataFrame, shingler, percent: int, block_docs: int, block_shingles: int, rounds: int = ROUNDS) -> list[DataFrame]:
-    """texts: (node, n, text) of large clusters, n the size of a text's set; keyed: (key, node) of their buckets."""
-    found: list[DataFrame] = []
-    own = keyed.join(texts.select("node", "n"), "node")
-    total = own.count()
+def large_links(texts: DataFrame, bands: DataFrame, shingler, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """texts: (node, n, text) of large clusters, n the size of a text's set; bands: (node, bands), the keys of its buckets."""
+    nodes = written(texts.select("node", "n").join(bands, "node"), "large")
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
     hot = F.col("docs") > max(HOT_LINKS, 2 * total // HOT_NODES)  # HOT_NODES buckets or representatives at most
+    own = nodes.select("node", "n", F.explode("bands").alias("key"))
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    shared = written(spread_join(own, sizes, "key", hot), "buckets")
-    degree = shared.groupBy("node").agg(F.sum("docs").alias("degree"))
-    #: Buckets that are not done, and what each document of them is linked to: itself, to begin with.
-    left = written(shared.drop("docs").join(degree, "node").withColumn("root", F.col("node")), "buckets")
-    for _ in range(rounds):
-        if not left.take(1):
-            return found
-        of_root = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("group"), F.max(F.struct("degree", "node"))["node"].alias("node"), F.max("degree").alias("degree"))
-        first = F.min(F.struct("group", -F.col("degree"), F.col("node").alias("head"), F.col("root").alias("head_root")))
-        heads = of_root.groupBy("key").agg(first.alias("first"), F.sum("group").alias("docs")).select("key", "first.head", "first.head_root", "docs")
-        met = written(spread_join(left, heads, "key", hot).drop("docs"), "met")
-        pairs = met.where("root <> head_root").select("head", "node", "n").distinct()
-        weights = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-        weights = written(weights.select("head", "docs", cuts("docs", "shingles", block_docs, block_shingles).alias("cuts")), "heads")
-        task = lambda part: F.struct(F.col("head").alias("group"), part.cast("int").alias("i"))
-        members = spread_join(pairs, weights, "head", hot).select("node", task(F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("task"), F.lit(False).alias("head"))
-        parts = weights.select("head", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
-        tasks = members.unionByName(parts.select(F.col("head").alias("node"), task(F.col("part")).alias("task"), F.lit(True).alias("head")))
-        found.append(written(_sent(texts, tasks).groupBy("task").applyInArrow(_with_head(shingler, percent), LINKS), "links"))
-        # Who has met everyone goes, and buckets that hang together.
-        roots = with_roots(components(_all(found))).withColumnRenamed("root", "new")
-        rest = met.where("node <> head").drop("head", "head_root", "root").join(roots, "node", "left").withColumn("root", F.coalesce("new", "node")).drop("new")
-        open_ = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("docs")).where("least <> most").select("key", "docs")
-        left = written(spread_join(rest, open_, "key", hot).drop("docs"), "buckets")
+    shared = spread_join(own, sizes, "key", hot).groupBy("node", "n").agg(F.collect_list("key").alias("keys"), F.sum("docs").alias("degree"))
+    shared = written(shared, "shared").select("node", "n", "degree", F.explode("keys").alias("key"))
+    heads = shared.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("docs"))
+    met = written(spread_join(shared, heads, "key", hot).where("node <> head").select("key", "node", "n", "head"), "met")
+
+    # Documents with their representatives.
+    pairs = met.select("head", "node", "n").distinct()
+    weights = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    weights = written(weights.select("head", "docs", cuts("docs", "shingles", block_docs, block_shingles).alias("cuts")), "heads")
+    task = lambda part: F.struct(F.col("head").alias("group"), part.cast("int").alias("i"))
+    members = spread_join(pairs, weights, "head", hot).select("node", task(F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("task"), F.lit(False).alias("head"))
+    parts = weights.select("head", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
+    tasks = members.unionByName(parts.select(F.col("head").alias("node"), task(F.col("part")).alias("task"), F.lit(True).alias("head")))
+    links = written(_sent(texts, tasks).groupBy("task").applyInArrow(_with_head(shingler, percent), LINKS), "links")
+
+    # Buckets whose other documents don't hang together by now.
+    roots = with_roots(components(links)).withColumnRenamed("root", "found")
+    rest = met.groupBy("node", "n").agg(F.collect_list("key").alias("keys")).join(roots, "node", "left")
+    rest = rest.select("node", "n", F.coalesce("found", "node").alias("root"), F.explode("keys").alias("key"))
+    open_ = rest.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.min("node").alias("least"), F.count(F.lit(1)).alias("docs"))
+    left = written(spread_join(rest, open_.where("one <> other").select("key", "least", "docs"), "key", hot).select("key", "node", "n", "least"), "left")
     if not left.take(1):
-        return found
-    # Clusters of what is left.
-    buckets = left.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("docs"))
-    strung = spread_join(left, buckets, "key", hot).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    clusters = with_roots(components(strung)).join(left.select("node", "n").distinct(), "node")
+        return links
+    clusters = with_roots(components(left.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    clusters = clusters.join(left.select("node", "n").distinct(), "node")
     weights = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    weights = written(weights.withColumn("cuts", cuts("docs", "shingles", block_docs, block_shingles)), "clusters")
-    clusters = written(spread_join(clusters, weights.select("root", "docs", "cuts"), "root", hot).select("node", "root", "cuts"), "clusters")
+    weights = weights.select("root", "docs", cuts("docs", "shingles", block_docs, block_shingles).alias("cuts"))
+    clusters = written(spread_join(clusters, weights, "root", hot).select("node", "root", "cuts"), "clusters")
     whole = clusters.where("cuts = 1").select("node", F.struct("root").alias("task"), F.lit(False).alias("head"))
-    found.append(_sent(texts, whole).groupBy("task").applyInArrow(_together(shingler, percent), LINKS))
-    if weights.where("cuts > 1").take(1):
+    links = links.unionByName(_sent(texts, whole).groupBy("task").applyInArrow(_together(shingler, percent), LINKS))
+    if clusters.where("cuts > 1").take(1):
         # Bucket by bucket; those of the same documents count once.
         rest = left.join(clusters.where("cuts > 1").select("node"), "node")
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
         sizes = sizes.groupBy("docs", "shingles", "sum").agg(F.min("key").alias("key")).select("key", "docs", "shingles")
         tasks = _blocks(rest.select("key", "node"), sizes, "key", hot, block_docs, block_shingles)
-        found.append(_sent(texts, tasks).groupBy("task").applyInArrow(_together(shingler, percent), LINKS))
-    return found
-
-
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        links = links.unionByName(_sent(texts, tasks).groupBy("task").applyInArrow(_together(shingler, percent), LINKS))
+    return links

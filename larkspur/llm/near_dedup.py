@@ -179,8 +179,7 @@ def _judged(
     if members.where("NOT whole").take(1):
         texts = written(texts, "member-texts")
         links = small_links(texts.where("whole"), shingler, percent)
-        for found in large_links(texts.where("NOT whole"), keyed, shingler, percent, block_docs, block_shingles):
-            links = links.unionByName(found)
+        links = links.unionByName(large_links(texts.where("NOT whole"), classes.select("node", "bands"), shingler, percent, block_docs, block_shingles))
     else:
         links = small_links(texts, shingler, percent)
 
