@@ -19,6 +19,7 @@ from .sources.definitions import parse_definition, resolve
 from .sources.files import shared_folder, write_bytes
 from .sources.options import export_keys
 from .sources.session import binary_session
+from .sources.store_writer import write_store
 from .sources.writer import Part, write_table
 from .streaming.windows import sessions, sliding, tumbling
 
@@ -578,24 +579,30 @@ _BINARY = {
 }
 
 
-def _binary(s: Session, key: bytes | None = None, with_key: bool = True) -> Session:
+def _binary(s: Session, key: bytes | None = None, with_key: bool = True, archive: bool = False) -> Session:
     """Both tables have a fixed number of rows at every scale. Ids are keys plus 1, as 0 names nothing there. With a key, every second nation is encrypted."""
     folder = f"{shared_folder(s.spark)}/larkspur-binary-{uuid.uuid4().hex}"
     rows = {
         "Nation": [(r.n_nationkey + 1, [r.n_name, r.n_regionkey + 1]) for r in s.table("nation").to_df().orderBy("n_nationkey").collect()],
         "Region": [(r.r_regionkey + 1, [r.r_name]) for r in s.table("region").to_df().orderBy("r_regionkey").collect()],
     }
+    tables = {}
     for name, text in _BINARY.items():
         fields = list(resolve(name, parse_definition(text), "1.0.0.1").fields)
         part = lambda own, **more: Part([i for i, _ in own], [v for _, v in own], **more)
         parts = [part(rows[name][::2]), part(rows[name][1::2], key_lookup=0xABC, key=key)] if key and name == "Nation" else [part(rows[name])]
+        tables[name] = write_table(fields, parts)
         write_bytes(f"{folder}/{name}.dbd", text.encode())
-        write_bytes(f"{folder}/{name}.db2", write_table(fields, parts))
-    options = {"path": folder, "definitions": folder, "version": "1.0.0.1"}
+    if archive:
+        options = write_store(folder, tables)
+    else:
+        options = {"path": folder}
+        for name, content in tables.items():
+            write_bytes(f"{folder}/{name}.db2", content)
     if key and with_key:
         write_bytes(f"{folder}/keys.txt", f"{0xABC:016X} {key.hex()}\n".encode())
         options["keys"] = f"{folder}/keys.txt"
-    return binary_session(s.spark, options)
+    return binary_session(s.spark, ";".join(f"{k}={v}" for k, v in {**options, "definitions": folder, "version": "1.0.0.1"}.items()))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -620,3 +627,10 @@ def binary_encrypted(s):
     shown = lambda own: own.table("Nation").to_df().select((c("Id") - 1).alias("n_nationkey"), c("Name").alias("n_name"))
     plain = shown(_binary(s, key, with_key=False)).select("n_nationkey", F.lit(True).alias("plain"))
     return shown(_binary(s, key)).join(plain, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("plain", F.lit(False)).alias("plain"))
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def binary_archive(s):
+    """The same tables out of a content store: manifest, ROOT, ENCODING, indexes and block containers."""
+    df = _binary(s, bytes(range(16)), archive=True).table("Nation").include("Region", ["Name"]).to_df()
+    return df.select((c("Id") - 1).alias("n_nationkey"), c("Name").alias("n_name"), c("Region.Name").alias("r_name"))

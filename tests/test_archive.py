@@ -97,3 +97,14 @@ def test_table_of_a_store(spark, store):
         opened.file(5)
     with pytest.raises(a.ArchiveError):
         a.Archive(str(store), "other")
+
+
+def test_written_stores(tmp_path):
+    from larkspur.sources import store_writer as w
+
+    rows = {w.key_of(f"c{i}"): [w.key_of(f"e{i}"), w.key_of(f"f{i}")][: 1 + i % 2] for i in range(300)}
+    found = a.read_encoding(w.encoding_file(rows))
+    assert len(found.pages) > 5 and all(found.find(k) == v for k, v in rows.items()) and found.find(w.key_of("none")) == [] and found.find(bytes(16)) == []
+    options = w.write_store(str(tmp_path), {f"T{i}": f"content {i}".encode() * 1000 for i in range(40)})
+    store = a.Archive.open(options)
+    assert all(store.table(f"t{i}") == f"content {i}".encode() * 1000 for i in range(40))
