@@ -5,8 +5,8 @@ weight, until no target is above its cap. With the sources in order of cap / wei
 sums find the water level in one pass over one row per source.
 
 A source's target is a number of whole repetitions of all its documents and a rest of under one. The rest is filled in the
-order of a seeded hash of the document id: bucket sums locate the bucket in which the running total passes the rest, and a
-window over that bucket alone finds the last document that fits. What is still missing is filled in the same way from the
+order of a seeded hash of the document id: bucket sums locate the bucket in which the running total passes the rest, sums within
+it the bucket's bucket, and a window over that alone finds the last document that fits. What is still missing is filled in the same way from the
 smaller documents behind that cut, ``passes`` times in all. Reruns give the same rows, however the table is partitioned.
 
 Defined results: a null text has size 0. A null source is a source of its own, last in order. Rows that repeat a document
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, table, written
 
 WEIGHTS, MAX_EPOCHS, SEED, PASSES = (5, 2, 1), 3, "mix-1", 3
-#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets a source.
+#: Hexadecimal digits of the hash that name a bucket: 4,096 buckets a source, and as many in each.
 DIGITS = 3
 
 
@@ -54,32 +54,44 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return filled.select("source", "source_size", "target", "whole", rest.alias("rest"))
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """(key, cut, sum): documents up to hash ``cut`` fit the key's rest, and sum up to ``sum``. docs: (key, bucket, hash, size, rest)."""
-    sums = docs.groupBy("key", "bucket").agg(F.sum("size").alias("own"), F.first("rest").alias("rest"))
-    sums = sums.withColumn("upto", F.sum("own").over(W.partitionBy("key").orderBy("bucket")))
+def _passing(docs: DataFrame, digits: int) -> DataFrame:
+    """(key, total, bucket, base): in which bucket of hashes the running total of (key, hash, size, rest, base) passes the rest, and what it is before."""
+    sums = docs.groupBy("key", F.substring("hash", 1, digits).alias("bucket")).agg(F.sum("size").alias("own"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+    sums = sums.withColumn("upto", F.sum("own").over(W.partitionBy("key").orderBy("bucket")) + F.col("base"))
     passing = F.when(F.col("upto") > F.col("rest"), F.struct("bucket", (F.col("upto") - F.col("own")).alias("base")))
-    total = sums.groupBy("key").agg(F.max("upto").alias("total"), F.min(passing).alias("over")).select("key", "total", "over.*")
-    inside = docs.join(total.where("bucket IS NOT NULL"), ["key", "bucket"]).select("key", "hash", "size", "base", "rest")
+    return sums.groupBy("key").agg(F.max("upto").alias("total"), F.min(passing).alias("over")).select("key", "total", "over.*")
+
+
+def _inside(docs: DataFrame, found: DataFrame, digits: int) -> DataFrame:
+    docs = docs.select("key", "hash", "size", "rest", F.substring("hash", 1, digits).alias("bucket"))
+    return docs.join(found.where("bucket IS NOT NULL").select("key", "bucket", "base"), ["key", "bucket"]).drop("bucket")
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """(key, cut, sum): documents up to hash ``cut`` fit the key's rest, and sum up to ``sum``. docs: (key, hash, size, rest)."""
+    whole = _passing(docs.withColumn("base", F.lit(0).cast("long")), DIGITS)
+    part = _inside(docs, whole, DIGITS)
+    found = _passing(part, 2 * DIGITS)
     # Rows of equal hash repeat one document; the window's frame takes them together.
-    inside = inside.withColumn("upto", F.sum("size").over(W.partitionBy("key").orderBy("hash")) + F.col("base")).where("upto <= rest")
-    last = inside.groupBy("key").agg(F.max("hash").alias("hash"), F.max("upto").alias("upto"))
+    last = _inside(part, found, 2 * DIGITS).withColumn("upto", F.sum("size").over(W.partitionBy("key").orderBy("hash")) + F.col("base")).where("upto <= rest")
+    last = last.groupBy("key").agg(F.max("hash").alias("hash"), F.max("upto").alias("upto"))
+    joined = whole.select("key", "total").join(found.select("key", "bucket", "base"), "key", "left").join(last, "key", "left")
     # "g" is behind every hexadecimal string: no bucket passes the rest.
-    return total.join(last, "key", "left").select("key", F.coalesce("hash", "bucket", F.lit("g")).alias("cut"), F.coalesce("upto", "base", "total").alias("sum"))
+    return joined.select("key", F.coalesce("hash", "bucket", F.lit("g")).alias("cut"), F.coalesce("upto", "base", "total").alias("sum"))
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, passes: int = PASSES) -> DataFrame:
     """docs: (doc_id, source, size). Adds source_size, target, and times, the repetitions that the mix takes."""
     hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # joins on it find a null source, too
-    slim = docs.select("doc_id", "source", "size", key.alias("key"), hashed.alias("hash"), F.substring(hashed, 1, DIGITS).alias("bucket"))
+    slim = docs.select("doc_id", "source", "size", key.alias("key"), hashed.alias("hash"))
     slim = written(slim, "mix-sizes")
     none = F.expr("CAST(array() AS array<struct<most:double,cut:string>>)")
     plan = written(source_targets(slim, weights, max_epochs).select(key.alias("key"), "source_size", "target", "whole", "rest", none.alias("cuts")), "mix-plan")
     taken = F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (F.col("hash") <= c["cut"]))
     for _ in range(passes):
         free = slim.join(plan, "key").where((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~taken)
-        cut = _cut(free.select("key", "bucket", "hash", "size", "rest"))
+        cut = _cut(free.select("key", "hash", "size", "rest"))
         cuts = F.when(F.col("cut").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(F.struct(F.col("rest").alias("most"), F.col("cut")))))
         rest = F.col("rest") - F.coalesce("sum", F.lit(0))
         plan = written(plan.join(cut, "key", "left").select("key", "source_size", "target", "whole", rest.alias("rest"), cuts.alias("cuts")), "mix-plan")
