@@ -116,6 +116,11 @@ def within(sizes: list[int], bound: int) -> list[int]:
     return taken
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8; bytes are split at the same white space, and much faster."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else; plain lower() where every character is ASCII, which is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -20,7 +20,6 @@ rows gives no rows. Columns other than the id and the text are not looked at.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -36,8 +35,6 @@ SHINGLE, PERCENT = 4, 80
 #: What a task of step 4 holds, in documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 NO_ID = -(2**63)
-_WORDS = re.compile(WORD)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Shingler:
@@ -53,14 +50,14 @@ class Shingler:
         import numpy as np
         import xxhash
 
-        words = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # A-Z alone, as these are bytes
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
         if len(known) > self.most:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            known[w] = xxhash.xxh64_intdigest(w)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - self.size + 1)
         k = min(self.size, len(words))
@@ -97,7 +94,8 @@ class MinMax:
 
         low, high = [], []
         for at in range(0, len(hashes), 4096):
-            v = hashes[None, at : at + 4096] * self.a + self.b
+            v = hashes[None, at : at + 4096] * self.a
+            v += self.b
             low.append(v.min(axis=1))
             high.append(v.max(axis=1))
         return np.concatenate([np.min(low, axis=0), np.max(high, axis=0)])

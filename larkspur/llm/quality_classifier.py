@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, set_aside, ship, table, within
+from .common import set_aside, ship, table, within, words_of
 
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_FROM = 1 << 16, 60, 60, 0.5
 LABELLERS = ("symbols", "capitals", "exclamations", "variety", "commonest", "word_length", "sentences", "letters", "runs")
 SYMBOLS = "#*$%&|<>~^@=_\\{}"
-_WORDS = re.compile(WORD)
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -68,10 +67,10 @@ class Profiler:
             self.values = self.values[:0]
         known, new, found = self.known, [], []
         for text in texts:
-            words = _WORDS.findall(text or "")
+            words = words_of(text)
             for w in set(words).difference(known):
                 known[w] = len(known)
-                new.append(self._about(w))
+                new.append(self._about(w.decode("utf-8", "surrogatepass")))
             codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             found.append((*np.unique(codes, return_counts=True), int((codes[1:] == codes[:-1]).sum())) if words else None)
         if new:

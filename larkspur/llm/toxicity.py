@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ship, table, within
+from .common import WORD, ship, table, within, words_of
 
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES, SENTENCES = 1000, 3000, 64 << 20, 16_000
 CHAIN, FOLDS, RARE = 256, 5, 1e-6
@@ -258,10 +258,10 @@ class Tagger:
             self.emissions, self.ends = self.emissions[:0], self.ends[:0]
         known, new, codes = self.known, [], []
         for text in texts:
-            tokens = _WORDS.findall(text or "")
+            tokens = words_of(text)
             for w in set(tokens).difference(known):
                 known[w] = len(known)
-                new.append(w)
+                new.append(w.decode("utf-8", "surrogatepass"))
             codes.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
         self.emissions = np.concatenate([self.emissions, np.array([self.model.emission(normal(w)) for w in new])])
         self.ends = np.concatenate([self.ends, np.array([w[-1] in ".!?" for w in new], bool)])
