@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_folder
+from ..sources.files import application_folder
 
 log = logging.getLogger(__name__)
 MOST_KEYS = 1000
@@ -36,9 +36,9 @@ class EqualityIndex:
 
     @staticmethod
     def build(df: DataFrame, table: str, field_: str, keys: list[str], version: str, layout: str = "", path: str | None = None) -> EqualityIndex:
-        """Writes the index; any number, text or date column that is no key."""
+        """Writes the index; any number, text or date column that is no key. Without a path it lives as long as the application."""
         spark = df.sparkSession
-        shared = path or shared_folder(spark)
+        shared = path or application_folder(spark)
         index = EqualityIndex(f"{shared.rstrip('/')}/index-{table}-{field_}-{uuid.uuid4().hex}", table, field_, list(keys), version, layout)
         rows = df.select(F.col(f"`{field_}`").alias("value"), *keys).where("value IS NOT NULL")
         rows.repartitionByRange("value", *keys).sortWithinPartitions("value").withColumn("stamp", F.lit(index._stamp())).write.parquet(index.path)

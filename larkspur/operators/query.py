@@ -7,6 +7,7 @@ ordering, then all skips, then the smallest take. With ``parity`` operators outs
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -20,6 +21,7 @@ from .errors import MoreThanOneRow, NoRows, NotSupported
 from .includes import FEW, load, tree, without
 from .order import sort_columns, split_at_first, without_first
 
+log = logging.getLogger(__name__)
 Predicate = Column | str | Callable[["Scope"], Column]
 Key = str | Column | Callable[["Scope"], Column]
 
@@ -116,7 +118,8 @@ class Query:
         """The query with its window of places applied, for operators that come after it."""
         if self.session.legacy_composition or not self.skipped and self.taken is None:
             return self
-        return replace(self, df=self._paged(), skipped=0, taken=None, most=self.taken if self.most is None else self.most, narrow=True)
+        bounds = [n for n in (self.taken, self.most) if n is not None]
+        return replace(self, df=self._paged(), skipped=0, taken=None, most=min(bounds, default=None), narrow=True)
 
     def _scoped(self, expression) -> tuple[Query, Column]:
         """The expression as a column, on a query that has the joins it needs."""
@@ -345,7 +348,8 @@ class Query:
         columns: what the nested rows at the path's end hold, all columns if not given.
         """
         if self.entity is None:
-            return self  # after a projection there is nothing to load into
+            log.warning("include(%r) after a projection: there is nothing to load into", path)
+            return self
         at = self.entity
         for step in path.split("."):
             at = self.session.registry[self.session.registry.navigation(at, step).target]
@@ -457,7 +461,8 @@ class Query:
         """The query with its window of places applied, for operators that come after it."""
         if self.session.legacy_composition or not self.skipped and self.taken is None:
             return self
-        return replace(self, df=self._paged(), skipped=0, taken=None, most=self.taken if self.most is None else self.most, narrow=True)
+        bounds = [n for n in (self.taken, self.most) if n is not None]
+        return replace(self, df=self._paged(), skipped=0, taken=None, most=min(bounds, default=None), narrow=True)
 
     def _scoped(self, expression) -> tuple[Query, Column]:
         """The expression as a column, on a query that has the joins it needs."""
@@ -686,7 +691,8 @@ class Query:
         columns: what the nested rows at the path's end hold, all columns if not given.
         """
         if self.entity is None:
-            return self  # after a projection there is nothing to load into
+            log.warning("include(%r) after a projection: there is nothing to load into", path)
+            return self
         at = self.entity
         for step in path.split("."):
             at = self.session.registry[self.session.registry.navigation(at, step).target]

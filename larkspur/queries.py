@@ -16,7 +16,7 @@ from .operators.query import Query, Session
 from .plans.sample_model import session
 from .plans.registry import Registry
 from .sources.definitions import parse_definition, resolve
-from .sources.files import shared_folder, write_bytes
+from .sources.files import application_folder, write_bytes
 from .sources.options import export_keys
 from .sources.session import binary_session
 from .sources.store_writer import write_store
@@ -581,7 +581,7 @@ _BINARY = {
 
 def _binary(s: Session, key: bytes | None = None, with_key: bool = True, archive: bool = False) -> Session:
     """Both tables have a fixed number of rows at every scale. Ids are keys plus 1, as 0 names nothing there. With a key, every second nation is encrypted."""
-    folder = f"{shared_folder(s.spark)}/larkspur-binary-{uuid.uuid4().hex}"
+    folder = f"{application_folder(s.spark)}/binary-{uuid.uuid4().hex}"
     rows = {
         "Nation": [(r.n_nationkey + 1, [r.n_name, r.n_regionkey + 1]) for r in s.table("nation").to_df().orderBy("n_nationkey").collect()],
         "Region": [(r.r_regionkey + 1, [r.r_name]) for r in s.table("region").to_df().orderBy("r_regionkey").collect()],

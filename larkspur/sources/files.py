@@ -33,6 +33,20 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
+def application_folder(spark) -> str:
+    """A folder of this application in the shared one; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    folder = getattr(sc, "_larkspur_files", None)
+    if folder is None:
+        folder = f"{shared_folder(spark)}/larkspur-files-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        sc._larkspur_files = folder
+    return folder
+
+
 def write_bytes(path: str, content: bytes) -> None:
     path = local(path)
     if _ADDRESS.match(path):
