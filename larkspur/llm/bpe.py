@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import bucketed, new_path, ship, table
 
 BLOCK_WORDS, CHUNK_WORDS = 2_000_000, 100_000
+#: Parts of the table of distinct words, at most: each block has a row for each, which shouldn't be too short.
+MOST_PARTS = 4096
 VOCABULARY = "word_bpe_49k.json"
 LETTERS, NUMBERS, SPACES = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r\x20\x85\xa0"
 #: The pre-tokenizer's expression for texts of U+0000 to U+00FF.
@@ -258,7 +260,8 @@ def encode(
 ) -> DataFrame:
     """(doc_id, ids) of every row, and on request the text that the ids decode to.
 
-    vocabulary: path of a tokenizers file; parts: into how many the table of distinct words is cut.
+    vocabulary: path of a tokenizers file; parts: into how many the table of distinct words is cut, by default twice the
+    shuffle partitions, ``MOST_PARTS`` at most; block_words: larger blocks need more memory, and share more words.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -267,7 +270,7 @@ def encode(
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     # In buckets of blocks: the documents' numbers are not shuffled again.
     path = new_path(spark, "bpe-blocks")
-    blocks = bucketed(slim.mapInArrow(_blocks(shared, parts or 2 * buckets, block_words), BLOCKS), "bpe-blocks", "block", path=path)
+    blocks = bucketed(slim.mapInArrow(_blocks(shared, parts or min(2 * buckets, MOST_PARTS), block_words), BLOCKS), "bpe-blocks", "block", path=path)
     words = spark.read.schema(BLOCKS).parquet(path).where("part >= 0").select("block", "part", "codes", "words").repartition("part").sortWithinPartitions("part")
     ids = words.mapInArrow(_encoded(shared), "block long, codes binary, ids binary, id_counts binary")
     own = blocks.where("part < 0").select("block", "doc_ids", "sizes", "codes")
