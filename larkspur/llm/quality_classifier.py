@@ -166,16 +166,16 @@ def vector(profile):
     return np.concatenate([words, shapes, bins]), np.concatenate([0.5 * logs / np.sqrt((logs**2).sum()), 2 * counts / counts.sum(), np.full(len(bins), 0.5)])
 
 
-def fit(profiles: list, targets: list[float]):
-    """Weights of the hashed linear scorer, the last one for the intercept."""
+def fit(parts: list, targets: list[float]):
+    """Weights of the hashed linear scorer, the last one for the intercept, from vectors and their targets."""
     import numpy as np
 
     weights = np.zeros(BUCKETS + 1)
-    if not profiles:
+    if not parts:
         return weights
-    parts = [vector(p) for p in profiles]
-    at, x = np.concatenate([a for a, _ in parts]).astype(np.int64), np.concatenate([b for _, b in parts])
-    row = np.repeat(np.arange(len(parts)), [len(a) for a, _ in parts])
+    sizes = [len(a) for a, _ in parts]
+    at, x = np.concatenate([a for a, _ in parts]).astype(np.int32), np.concatenate([b for _, b in parts])
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     y = np.array(targets)
     square = np.full(BUCKETS + 1, 1e-8)
     for _ in range(FIT_ROUNDS):
@@ -208,8 +208,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTE
     taken = [(first[i].by,) for i in within([r["size"] for r in first], sample_bytes)]
     chosen = spark.createDataFrame(taken, "by long")
     rows = hashed.join(F.broadcast(chosen), "by").dropDuplicates(["by"]).collect() if taken else []
-    profiles = [p for p in Profiler()([r.text for r in sorted(rows, key=lambda r: r.by)]) if p is not None]
-    return fit(profiles, [posterior.get(pattern(p[3]), 0.5) for p in profiles]), about
+    rows.sort(key=lambda r: r.by)
+    parts, targets = [], []
+    # A store of words for a few texts at a time: the driver holds vectors alone.
+    for at in range(0, len(rows), 200):
+        found = [p for p in Profiler()([r.text for r in rows[at : at + 200]]) if p is not None]
+        parts += [vector(p) for p in found]
+        targets += [posterior.get(pattern(p[3]), 0.5) for p in found]
+    return fit(parts, targets), about
 
 
 def classify(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
