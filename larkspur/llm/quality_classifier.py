@@ -166,21 +166,27 @@ def vector(profile):
     return np.concatenate([words, shapes, bins]), np.concatenate([0.5 * logs / np.sqrt((logs**2).sum()), 2 * counts / counts.sum(), np.full(len(bins), 0.5)])
 
 
-def fit(parts: list, targets: list[float]):
-    """Weights of the hashed linear scorer, the last one for the intercept, from vectors and their targets."""
+def fit(parts: list, targets: list[float], together: int = 100):
+    """Weights of the hashed linear scorer, the last one for the intercept, from vectors and their targets; ``together`` vectors are unpacked at a time."""
     import numpy as np
 
     weights = np.zeros(BUCKETS + 1)
     if not parts:
         return weights
-    sizes = [len(a) for a, _ in parts]
-    at, x = np.concatenate([a for a, _ in parts]).astype(np.int32), np.concatenate([b for _, b in parts])
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     y = np.array(targets)
     square = np.full(BUCKETS + 1, 1e-8)
     for _ in range(FIT_ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[at] * x, minlength=len(y)) + weights[-1], -50, 50)))
-        slope = np.append(np.bincount(at, weights=(y - p)[row] * x, minlength=BUCKETS), (y - p).sum()) / len(y) - 1e-6 * weights
+        slope = np.zeros(BUCKETS + 1)
+        for first in range(0, len(parts), together):
+            some = parts[first : first + together]
+            sizes = [len(a) for a, _ in some]
+            at, x = np.concatenate([a for a, _ in some]).astype(np.int64), np.concatenate([b for _, b in some])
+            row = np.repeat(np.arange(len(some)), sizes)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[at] * x, minlength=len(some)) + weights[-1], -50, 50)))
+            off = y[first : first + together] - p
+            slope[:-1] += np.bincount(at, weights=off[row] * x, minlength=BUCKETS)
+            slope[-1] += off.sum()
+        slope = slope / len(y) - 1e-6 * weights
         square += slope**2
         weights += 0.3 * slope / np.sqrt(square)
     return weights
@@ -196,8 +202,27 @@ def _patterns(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["pattern"])
 
 
+def _vectors(batches: Iterator) -> Iterator:
+    """(by, text) to (by, pattern, buckets, values): vectors as bytes, of 16-bit and 64-bit numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    profiler = Profiler()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            found = [(by, p, *vector(p)) for by, p in zip(part.column("by").to_pylist(), profiler(part.column("text").to_pylist()), strict=True) if p is not None]
+            columns = [
+                pa.array([by for by, *_ in found], pa.int64()), pa.array([pattern(p[3]) for _, p, *_ in found], pa.int32()),
+                pa.array([a.astype(np.uint16).tobytes() for *_, a, _ in found], pa.binary()), pa.array([x.tobytes() for *_, x in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["by", "pattern", "buckets", "values"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: str = "quality"):
     """The scorer's weights, and what the estimate says of the labellers. docs: (doc_id, text)."""
+    import numpy as np
+
     spark = docs.sparkSession
     ship(spark)
     tallies = docs.select("text").mapInArrow(_patterns, "pattern int").groupBy("pattern").count().collect()
@@ -207,15 +232,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTE
     first = hashed.groupBy("by").agg(F.max(F.octet_length("text")).alias("size")).where("size > 0").orderBy("by").limit(sample).collect()
     taken = [(first[i].by,) for i in within([r["size"] for r in first], sample_bytes)]
     chosen = spark.createDataFrame(taken, "by long")
-    rows = hashed.join(F.broadcast(chosen), "by").dropDuplicates(["by"]).collect() if taken else []
+    # Texts stay with the executors: the driver holds packed vectors alone.
+    rows = hashed.join(F.broadcast(chosen), "by").dropDuplicates(["by"]).mapInArrow(_vectors, "by long, pattern int, buckets binary, values binary").collect() if taken else []
     rows.sort(key=lambda r: r.by)
-    parts, targets = [], []
-    # A store of words for a few texts at a time: the driver holds vectors alone.
-    for at in range(0, len(rows), 200):
-        found = [p for p in Profiler()([r.text for r in rows[at : at + 200]]) if p is not None]
-        parts += [vector(p) for p in found]
-        targets += [posterior.get(pattern(p[3]), 0.5) for p in found]
-    return fit(parts, targets), about
+    parts = [(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r["values"], np.float64)) for r in rows]
+    return fit(parts, [posterior.get(r.pattern, 0.5) for r in rows]), about
 
 
 def classify(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -259,6 +259,23 @@ def test_quality_sample_is_bounded(spark):
     assert got[0] == 400 and 20 <= got[1] <= 35 and got[2] == 1 and weights.any()
 
 
+def test_quality_sample_stays_with_the_executors(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, _ = quality_classifier.train(docs, sample=300)
+    monkeypatch.setattr(quality_classifier, "Profiler", None)  # the driver's own
+    got, _ = quality_classifier.train(docs, sample=300)
+    assert want.any() and (got == want).all()
+
+
+def test_quality_fit_in_blocks():
+    r = np.random.default_rng(3)
+    parts = [(r.integers(0, quality_classifier.BUCKETS, n).astype(np.uint16), r.random(n)) for n in r.integers(1, 40, 57)]
+    targets = r.random(57).tolist()
+    whole = quality_classifier.fit(parts, targets, together=57)
+    for n in (1, 10, 100):
+        assert quality_classifier.fit(parts, targets, together=n) == pytest.approx(whole, abs=1e-9)
+
+
 def test_weak_label_estimate():
     r = random.Random(1)
     patterns = Counter()
