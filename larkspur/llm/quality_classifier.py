@@ -207,11 +207,11 @@ def _vectors(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    profiler = Profiler()
     for batch in batches:
+        # A store of words for a few texts at a time: it is no larger than theirs.
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            found = [(by, p, *vector(p)) for by, p in zip(part.column("by").to_pylist(), profiler(part.column("text").to_pylist()), strict=True) if p is not None]
+            found = [(by, p, *vector(p)) for by, p in zip(part.column("by").to_pylist(), Profiler()(part.column("text").to_pylist()), strict=True) if p is not None]
             columns = [
                 pa.array([by for by, *_ in found], pa.int64()), pa.array([pattern(p[3]) for _, p, *_ in found], pa.int32()),
                 pa.array([a.astype(np.uint16).tobytes() for *_, a, _ in found], pa.binary()), pa.array([x.tobytes() for *_, x in found], pa.binary()),
